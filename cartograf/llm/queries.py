@@ -34,6 +34,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import rotate_perspectives
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_language_id": op8_language_id,
     "op10_nearest_neighbours": op10_nearest_neighbours,
