@@ -35,6 +35,13 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, width=50, kept=False).drop("text")
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flac import read_back, store
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_back(store(docs).drop("text")).drop("media")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -70,6 +77,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_flac_media": op3_flac_media,
     "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_near_duplicates": op6_near_duplicates,
