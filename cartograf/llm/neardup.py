@@ -245,7 +245,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     def meet(bodies):
         band, doc, many = unblock(bodies, kinds)
         pairs, _ = chain(band, doc, many, least, None)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array([False] * len(pairs))], ["a", "b", "sure"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array([False] * len(pairs), pa.bool_())], ["a", "b", "sure"])
 
     def same(bodies):
         one, two, doc = unblock(bodies, kinds)
@@ -255,7 +255,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         head = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
         rest = head != doc
-        yield pa.RecordBatch.from_arrays([pa.array(head[rest], pa.int64()), pa.array(doc[rest], pa.int64()), pa.array([True] * int(rest.sum()))], ["a", "b", "sure"])
+        yield pa.RecordBatch.from_arrays([pa.array(head[rest], pa.int64()), pa.array(doc[rest], pa.int64()), pa.array([True] * int(rest.sum()), pa.bool_())], ["a", "b", "sure"])
 
     # buckets below n hold bands, the others equal sets
     dealt = signed.filter("kind = 2").select("bucket", "body")

@@ -68,6 +68,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_personal_data(docs, clean=False).drop("text")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -83,7 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_language_id": op8_language_id,
+    "op9_personal_data": op9_personal_data,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {"op7_chat_formatting": CHAT_SQL}

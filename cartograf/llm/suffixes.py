@@ -367,11 +367,11 @@ def joined(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 50, sample: int = 3000, kept: bool = True) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) kept, the remaining bytes, to each row.
+    """Adds n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) the remaining bytes, kept, to each row.
 
-    ``width`` may be 17 to 250 bytes. Texts must be shorter than 4 GiB.
+    kept_text are these bytes as text, without what is left of characters that were cut in two. ``width`` may be 17 to 250 bytes. Texts must be shorter than 4 GiB.
     """
-    added = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), *([("kept", "binary")] if kept else [])]
+    added = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), *([("kept", "binary"), ("kept_text", "string")] if kept else [])]
     plain, schema = extended(df, added)
     names = plain.columns
     found = removed_spans(df, key, text, width, sample)
@@ -397,6 +397,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width
                 new = dict(zip(("n_bytes", "n_removed", "n_spans"), (pa.array(x, pa.int64()) for x in out), strict=False)) | {"kept_sha256": pa.array(out[3], pa.string())}
                 if kept:
                     new["kept"] = pa.array(out[4], pa.binary())
+                    new["kept_text"] = pa.array([b.decode("utf-8", "ignore") for b in out[4]], pa.string())
                 yield with_columns(part.select(names), new)
 
     return rows.mapInArrow(run, schema)

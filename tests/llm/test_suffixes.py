@@ -61,7 +61,7 @@ def test_against_brute_force(spark, monkeypatch, seed, sample, limit):
     rows += [(None, rows[3][1]), rows[5], rows[6], (ids[7], texts[8])]  # no id, repeated rows, another text under one id
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, N_SPANS int").repartition(4)
     got = S.remove_repeats(df, sample=sample)
-    assert got.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    assert got.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
     found = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=str)
     assert found == brute(rows, 50)
     assert sum(r[2] for r in found) > 500
