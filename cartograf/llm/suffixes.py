@@ -300,8 +300,10 @@ def removed_spans(df: DataFrame, key: str, text: str, width: int, sample: int) -
                 sure[2].append(packed(start[later], (last - first)[later] + start[later] + width))
                 keep = np.flatnonzero(~later)
                 leading = words[seen[keep]].byteswap()
-                core = span_hashes(words, seen[keep], np.full(len(keep), width - third + 1))
-                bucket = np.where(is_hot[keep], (core % U64(n)).astype(np.int64), np.searchsorted(splitters, leading, "right"))
+                bucket = np.searchsorted(splitters, leading, "right")
+                heated = np.flatnonzero(is_hot[keep])
+                core = span_hashes(words, seen[keep[heated]], np.full(len(heated), width - third + 1))
+                bucket[heated] = (core % U64(n)).astype(np.int64)
                 shown = contexts(data, seen[keep], first[keep], last[keep], width)
                 own = [bucket.astype(np.int32), ids[keep], rids[keep], seen[keep] - offsets[owner[keep]], (seen - last)[keep].astype(np.uint8), (seen - first)[keep].astype(np.uint8), shown]
                 for x, y in zip(out, own, strict=True):

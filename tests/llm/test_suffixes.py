@@ -67,6 +67,15 @@ def test_against_brute_force(spark, monkeypatch, seed, sample, limit):
     assert sum(r[2] for r in found) > 500
 
 
+@pytest.mark.parametrize("width", [20, 100])
+def test_other_widths_and_tokens_at_the_end(spark, width):
+    texts = [t for t in corpus(9, 90) if t] + ["z" * 60 + "tail of a text that ends here!!", "q" * 60 + "tail of a text that ends here!!"] * 3
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(df, width=width).collect()), key=str)
+    assert found == brute(rows, width)
+
+
 def test_empty_and_short(spark):
     df = spark.createDataFrame([(1, "short"), (2, "short"), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in S.remove_repeats(df).collect()) == [(1, 0), (2, 0), (3, 0)]
