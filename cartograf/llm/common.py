@@ -124,19 +124,21 @@ BLOCKS = "bucket int, body binary"
 
 
 def blocks(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """Rows with the same bucket as one binary body: count, then each column's bytes. Cuts the rows of a shuffle."""
+    """Rows with the same bucket as one compressed body: count, then each column's bytes. Cuts the rows of a shuffle."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     columns = [c[order] for c in columns]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
     for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-        yield int(bucket[a]), np.int64(b - a).tobytes() + b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
+        body = np.int64(b - a).tobytes() + b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
+        yield int(bucket[a]), len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def unblock(bodies: Iterable[bytes], kinds: list) -> list[np.ndarray]:
     """The columns of all bodies, one after the other; kinds: dtypes, as ``blocks`` got them."""
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    for body in bodies:
+    for packed in bodies:
+        body = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
         n, at = int(np.frombuffer(body, np.int64, 1)[0]), 8
         for k, kind in enumerate(kinds):
             kind = np.dtype(kind)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_text, block_batch, blocks, by_bucket, materialise, mix64, raw, shuffle_partitions, slices, span_hashes, unblock, words_at
+from .common import U64, as_text, block_batch, blocks, by_bucket, discard, materialise, mix64, raw, shuffle_partitions, slices, span_hashes, unblock, words_at
 from .components import components
 
 BANDS, ROWS, REPS = 48, 5, 8
@@ -271,4 +271,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     out = signed.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     out = out.join(groups, out.doc_id == groups.node, "left").drop("node")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    done = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    done = materialise(done, "near-groups")  # so that what is larger can go
+    for used in (signed, pairs, groups):
+        discard(used)
+    return done

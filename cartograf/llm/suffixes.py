@@ -30,11 +30,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, block_batch, blocks, by_bucket, mix64, ragged, shuffle_partitions, slices, span_hashes, unblock, words_at
-from .tokens import extended, with_columns
+from .tokens import extended
 
 TOKEN = 16
 HOT = 8  # of the sampled documents that hold a hot token, at least
@@ -196,12 +197,23 @@ def per_document(messages: DataFrame, n: int) -> DataFrame:
     return by_bucket(messages, n, run, "doc_id long, rid long, found binary")
 
 
+def place_of(ident: np.ndarray, n: int) -> np.ndarray:
+    return (mix64(ident.view(U64)) % U64(n)).astype(np.int32)
+
+
 def message_blocks(doc, rid, value, n):
-    return blocks((mix64(rid.view(U64)) % U64(n)).astype(np.int32), [doc, rid, value])
+    order = np.argsort(doc, kind="stable")
+    return blocks(place_of(rid[order], n), [doc[order], rid[order], value[order]])
+
+
+def opened(batch: pa.RecordBatch, text: str) -> pa.RecordBatch:
+    """A batch with the struct column ``row``, its text taken out as a column of its own."""
+    body = pc.struct_field(batch.column("row"), text)
+    return pa.RecordBatch.from_arrays([*batch.columns, body], [*batch.schema.names, "text"])
 
 
 def removed_spans(df: DataFrame, key: str, text: str, width: int, sample: int) -> DataFrame:
-    """The rows of ``df`` with __own (first of its text), __found (64-bit start << 32 | end pairs of what goes; null: none)."""
+    """Rows of ``df`` as a struct, with doc_id, __own (first of its text; else null), found (start << 32 | end of what goes, 64 bits each)."""
     spark = df.sparkSession
     n = shuffle_partitions(spark)
     reach = width - TOKEN
@@ -213,45 +225,57 @@ def removed_spans(df: DataFrame, key: str, text: str, width: int, sample: int) -
     splitters = lead[np.linspace(0, len(lead) - 1, n + 1).astype(int)[1:-1]] if len(lead) else lead
     guide = spark.sparkContext.broadcast((np.unique(splitters), hot))  # n words, and at most the sample's tokens / HOT
 
-    owners = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.xxhash64("doc_id", "h1", "h2").alias("rid"), F.lit(True).alias("__own")).distinct()
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), doc.alias("doc_id"), body.alias("text"), F.xxhash64(doc, h1, h2).alias("rid"))
-    base = rows.join(owners, ["doc_id", "rid"], "left")
-    own = base.filter("__own").select("doc_id", "rid", "text")
+    owners = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.xxhash64("doc_id", "h1", "h2").alias("rid"), F.xxhash64("h1", "h2").alias("cid"), F.lit(True).alias("__own")).distinct()
+    # both uses of the texts take the whole row, so that they read one exchange
+    rows = df.select(doc.alias("doc_id"), F.xxhash64(doc, h1, h2).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
     def name(batches):
+        """Tokens by content (copies are one), five bytes of each hash; the bucket holds more of it."""
         _, hot = guide.value
         for batch in batches:
             held: list[list[np.ndarray]] = [[], []]
             for part, data, offsets in slices(batch, "text"):
                 owner, *_, token = suffixes(data, offsets, width)
-                rid = part.column("rid").to_numpy()[owner]
+                cid = part.column("cid").to_numpy()[owner]
                 cold = ~np.isin(token, hot)
-                token, rid = token[cold], rid[cold]
-                order = np.lexsort((token, rid))
-                token, rid = token[order], rid[order]
+                token, cid = token[cold], cid[cold]
+                order = np.lexsort((token, cid))
+                token, cid = token[order], cid[order]
                 new = np.ones(len(token), bool)
-                new[1:] = (token[1:] != token[:-1]) | (rid[1:] != rid[:-1])
-                ids = part.column("doc_id").to_numpy()
-                at = np.argsort(part.column("rid").to_numpy(), kind="stable")
-                ids, rids = ids[at], part.column("rid").to_numpy()[at]
+                new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
                 held[0].append(token[new])
-                held[1].append(np.stack([ids[np.searchsorted(rids, rid[new])], rid[new]], 1))
-            token, both = np.concatenate(held[0]), np.concatenate(held[1])
+                held[1].append(cid[new])
+            token, cid = np.concatenate(held[0]), np.concatenate(held[1])
             if len(token):
-                yield block_batch(list(blocks((token % U64(n)).astype(np.int32), [token, both[:, 0], both[:, 1]])))
+                yield block_batch(list(blocks((token % U64(n)).astype(np.int32), [(token >> U64(32)).astype(np.uint32), (token >> U64(24)).astype(np.uint8), cid])))
 
     def shared(bodies):
-        token, doc, rid = unblock(bodies, [np.uint64, np.int64, np.int64])
+        high, low, cid = unblock(bodies, [np.uint32, np.uint8, np.int64])
+        token = (high.astype(U64) << U64(8)) | low
         order = np.argsort(token, kind="stable")
-        token, doc, rid = token[order], doc[order], rid[order]
+        token, cid = token[order], cid[order]
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
         at, group = np.flatnonzero(new), np.cumsum(new) - 1
-        several = (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))[group] if len(token) else np.zeros(0, bool)
+        several = (np.minimum.reduceat(cid, at) < np.maximum.reduceat(cid, at))[group] if len(token) else np.zeros(0, bool)
         if several.any():
-            yield block_batch(list(message_blocks(doc[several], rid[several], token[several], n)))
+            cid, token = cid[several], token[several]
+            yield block_batch(list(blocks(place_of(cid, n), [cid, (token >> U64(8)).astype(np.uint32), token.astype(np.uint8)])))
+
+    def wanted_tokens(bodies):
+        cid, high, low = unblock(bodies, [np.int64, np.uint32, np.uint8])
+        token = (high.astype(U64) << U64(8)) | low
+        order = np.argsort(cid, kind="stable")
+        cid, token = cid[order], token[order]
+        cut = np.flatnonzero(np.concatenate([np.ones(1, bool), cid[1:] != cid[:-1]])) if len(cid) else np.zeros(0, np.int64)
+        at = np.append(cut, len(cid))
+        for a in range(0, len(cut), 20_000):
+            own = at[a : a + 20_001]
+            yield pa.RecordBatch.from_arrays([pa.array(cid[own[:-1]]), pa.array([token[x:y].tobytes() for x, y in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["cid", "wanted"])
 
-    candidates = per_document(by_bucket(own.mapInArrow(name, "bucket int, body binary"), n, shared, "bucket int, body binary"), n)
+    named = slim.select(F.xxhash64("h1", "h2").alias("cid"), "text").mapInArrow(name, "bucket int, body binary")
+    candidates = by_bucket(by_bucket(named, n, shared, "bucket int, body binary"), n, wanted_tokens, "cid long, wanted binary")
+    marks = owners.join(candidates, "cid", "left").select("doc_id", "rid", F.coalesce("wanted", F.lit(b"")).alias("wanted"))
     kinds = [np.int64, np.int64, np.int64, np.uint8, np.uint8, np.dtype(f"V{reach + width}")]
 
     def show(batches):
@@ -259,17 +283,19 @@ def removed_spans(df: DataFrame, key: str, text: str, width: int, sample: int) -
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
             sure: list[list[np.ndarray]] = [[], [], []]
-            for part, data, offsets in slices(batch, "text"):
+            batch = batch.filter(batch.column("wanted").is_valid())  # the first documents of their contents
+            for part, data, offsets in slices(opened(batch, text), "text"):
                 owner, place, first, last, token = suffixes(data, offsets, width)
                 if not len(owner):
                     continue
-                wanted, at = raw_values(part.column("found"))
+                wanted, at = raw_values(part.column("wanted"))
+                short = token >> U64(24)
                 pick = np.isin(token, hot)
                 is_hot = pick.copy()
                 edges = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 for r in np.flatnonzero(np.diff(at)):
                     a, b = edges[r], edges[r + 1]
-                    pick[a:b] |= np.isin(token[a:b], wanted[at[r] : at[r + 1]])
+                    pick[a:b] |= np.isin(short[a:b], wanted[at[r] : at[r + 1]])
                 owner, place, first, last, is_hot = (x[pick] for x in (owner, place, first, last, is_hot))
                 if not len(owner):
                     continue
@@ -323,8 +349,8 @@ def removed_spans(df: DataFrame, key: str, text: str, width: int, sample: int) -
         if len(found):
             yield block_batch(list(message_blocks(doc[found], rid[found], packed(place[found] - highest, place[found] - lowest + width), n)))
 
-    seen = own.join(candidates, ["doc_id", "rid"], "left").select("doc_id", "rid", "text", F.coalesce("found", F.lit(b"")).alias("found"))
-    shown = seen.mapInArrow(show, "bucket int, body binary")
+    # a left join like the last one below: an inner one would filter its rows first and need an exchange of its own
+    shown = rows.join(marks, ["doc_id", "rid"], "left").select("doc_id", "rid", "row", "wanted").mapInArrow(show, "bucket int, body binary")
 
     def either(batches):
         """Suffixes are compared, what was certain before passes through."""
@@ -340,7 +366,8 @@ def removed_spans(df: DataFrame, key: str, text: str, width: int, sample: int) -
                 yield from compare(bodies)
 
     messages = shown.repartition(n, "bucket").mapInArrow(either, "bucket int, body binary")
-    return base.join(per_document(messages, n), ["doc_id", "rid"], "left").select("row", "text", "doc_id", "__own", F.coalesce("found", F.lit(b"")).alias("found"))
+    out = rows.join(owners.select("doc_id", "rid", "__own"), ["doc_id", "rid"], "left").join(per_document(messages, n), ["doc_id", "rid"], "left")
+    return out.select("doc_id", "row", "__own", F.coalesce("found", F.lit(b"")).alias("found"))
 
 
 def packed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -377,14 +404,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width
     plain, schema = extended(df, added)
     names = plain.columns
     found = removed_spans(df, key, text, width, sample)
-    rows = found.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("text").alias("__text"), F.col("found").alias("__found"), (F.col("doc_id").isNotNull() & F.col("__own").isNull()).alias("__copy"))
+    rows = found.select("row", "found", (F.col("doc_id").isNotNull() & F.col("__own").isNull()).alias("copy"))
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in slices(batch, "__text"):
-                wanted, at = raw_values(part.column("__found"))
+            for part, data, offsets in slices(opened(batch, text), "text"):
+                wanted, at = raw_values(part.column("found"))
                 out: list[list] = [[], [], [], [], []]
-                for r, copy in enumerate(part.column("__copy").to_pylist()):
+                for r, copy in enumerate(part.column("copy").to_pylist()):
                     own = data[offsets[r] : offsets[r + 1]]
                     spans = joined(wanted[at[r] : at[r + 1]])
                     if copy:
@@ -400,6 +427,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width
                 if kept:
                     new["kept"] = pa.array(out[4], pa.binary())
                     new["kept_text"] = pa.array([b.decode("utf-8", "ignore") for b in out[4]], pa.string())
-                yield with_columns(part.select(names), new)
+                whole = part.column("row")
+                yield pa.RecordBatch.from_arrays([*(pc.struct_field(whole, c) for c in names), *new.values()], [*names, *new])
 
     return rows.mapInArrow(run, schema)
