@@ -44,6 +44,24 @@ def statement_end(text: str, at: int) -> int:
     return at
 
 
+def body_start(text: str, at: int) -> int | None:
+    """Where the body of a function opens whose parameters end at a place; None if it has none. A bracket behind a colon, a bar or the like opens a type."""
+    while at < len(text):
+        c = text[at]
+        if c == "{":
+            before = text[:at].rstrip()
+            if not before.endswith((":", "|", "&", "<", ",", "=>")):
+                return at
+            at = closing(text, at)
+        elif c in "([":
+            at = closing(text, at)
+        elif c in ";}" or (c == "\n" and not re.compile(r"\s*[{|&:]").match(text, at)):
+            return None
+        else:
+            at += 1
+    return None
+
+
 def members(b: Builder, text: str, owner: str, name: str, body: int, end: int, is_class: bool) -> None:
     depths, seen_constructor = brace_depths(text, body + 1, end - 1), False
     at = body + 1
@@ -56,8 +74,8 @@ def members(b: Builder, text: str, owner: str, name: str, body: int, end: int, i
         mark, word = m.group(5), m.group(3)
         if mark == "(":
             stop = closing(text, m.end() - 1)
-            after = re.compile(r"\s*(?::\s*[^{;=\n]*(?:\{[^}]*\}[^{;\n]*)?)?\s*(\{)?").match(text, stop)
-            stop = closing(text, after.end() - 1) if after and after.group(1) else (after.end() if after else stop)
+            opened = body_start(text, stop)
+            stop = closing(text, opened) if opened is not None else statement_end(text, stop)
         else:
             stop = statement_end(text, m.end(3))
         stop = min(stop, end - 1)
@@ -125,8 +143,8 @@ def parse(path: str, content: str) -> Builder:
         if kind == "function":
             open_at = text.find("(", m.end())
             close = closing(text, open_at) if open_at >= 0 else m.end()
-            body = re.compile(r"[^{;]*(?:\{[^{}]*\}\s*(?=\{))?[^{;]*(\{)?").match(text, close)
-            end = closing(text, body.end() - 1) if body and body.group(1) else body.end()
+            opened = body_start(text, close)
+            end = closing(text, opened) if opened is not None else statement_end(text, close)
             ident = b.symbol("function", name, name, start, end, {"async": bool(m.group(2)), "exported": True})
             calls_in(b, text, ident, m.start(4), end)
             b.used_bindings(ident, content[start:end], start, end)
