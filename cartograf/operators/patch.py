@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import scalars as X
 from ..sources.derived import Graph
+from ..sources.shared import cut
 from .analyze import file_topology, rank_nodes
 from .resolve import resolve_edges
 
@@ -70,9 +71,9 @@ def apply_patch(graph: Graph, files: DataFrame, nodes: DataFrame, edges: DataFra
     """
     nodes = S.conform(last_wins(nodes, "id", order), S.NODES)
     edges = S.conform(last_wins(edges, "id", order), S.EDGES)
-    nodes = enrich_nodes(nodes)
-    edges = S.conform(resolve_edges(check_ends(edges), nodes, graph.nodes), S.EDGES)
-    files = enrich_files(S.conform(last_wins(files, "path"), S.FILES), nodes, edges)
+    nodes = cut(enrich_nodes(nodes))
+    edges = cut(S.conform(resolve_edges(cut(check_ends(edges)), nodes, graph.nodes), S.EDGES))
+    files = cut(enrich_files(S.conform(last_wins(files, "path"), S.FILES), nodes, edges))
     touched = files.select("path")
     if deleted is not None:
         touched = touched.unionByName(deleted.select("path"))

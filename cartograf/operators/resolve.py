@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..sources.shared import cut
 
 
 def _names(nodes: DataFrame, exact: bool) -> DataFrame:
@@ -90,9 +91,10 @@ def resolve_edges(edges: DataFrame, local: DataFrame, stored: DataFrame) -> Data
     """Edges with both ends resolved as far as possible, and source spans filled in from the start node."""
     known = local.select("id").unionByName(stored.select("id")).distinct()
     ends = edges.select("kind", "source_file", F.explode(F.array("from_id", "to_id")).alias("raw")).distinct()
-    open_ends = ends.join(known, ends.raw == known.id, "left_anti").persist()
-    files = resolve_files(open_ends.select("raw").distinct(), known, stored)
-    names = resolve_names(open_ends.join(files.select("raw"), "raw", "left_anti"), local, stored).filter(F.col("resolved").isNotNull())
+    # written once: each is read for both ends, and plans must not grow from patch to patch
+    open_ends = cut(ends.join(known, ends.raw == known.id, "left_anti"))
+    files = cut(resolve_files(open_ends.select("raw").distinct(), known, stored))
+    names = cut(resolve_names(open_ends.join(files.select("raw"), "raw", "left_anti"), local, stored).filter(F.col("resolved").isNotNull()))
     for end in ("from_id", "to_id"):
         f = files.select(F.col("raw").alias("f_raw"), F.col("resolved").alias("f"))
         n = names.select(F.col("kind").alias("n_kind"), F.col("source_file").alias("n_file"), F.col("raw").alias("n_raw"), F.col("resolved").alias("n"))
