@@ -83,9 +83,9 @@ def apply_patch(graph: Graph, files: DataFrame, nodes: DataFrame, edges: DataFra
 
 def relabel(graph: Graph, carry: bool = True) -> Graph:
     """Labels and centralities after analysis, by joins: of nodes by their file and id, of files by path. Nodes without edges get 0."""
-    topology = file_topology(graph.nodes, graph.edges, graph.files, carry)
+    topology = cut(file_topology(graph.nodes, graph.edges, graph.files, carry))
     by_file = topology.select(F.col("path").alias("file_path"), F.col("domain").alias("d"), F.col("subsystem").alias("s"), F.col("cluster_id").alias("c"))
-    scores = rank_nodes(graph.nodes, graph.edges).select("id", F.col("centrality").cast("double").alias("score"))
+    scores = cut(rank_nodes(graph.nodes, graph.edges).select("id", F.col("centrality").cast("double").alias("score")))
     nodes = graph.nodes.join(by_file, "file_path", "left").join(scores, "id", "left")
     nodes = nodes.withColumns({"domain": F.coalesce("d", "domain"), "subsystem": F.coalesce("s", "subsystem"), "cluster_id": F.coalesce("c", "cluster_id"), "centrality_score": F.coalesce("score", F.lit(0.0))})
     by_path = topology.select("path", F.col("domain").alias("d"), F.col("subsystem").alias("s"), F.col("centrality").cast("double").alias("score"))
