@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_text, per_span, ragged, raw, slices, words_at
+from .common import U64, per_span, ragged, slices, words_at
 from .tokens import extended, with_columns
 
 BLOCK, RATE, ORDER, PRECISION, PARTS = 1152, 8000, 6, 10, 2  # samples a frame, Hz, linear predictor, bits a coefficient, log2 of partitions
