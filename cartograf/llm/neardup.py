@@ -13,7 +13,8 @@ With BANDS bands of ROWS places a pair of similarity 0.8 shares no band with pro
 never g squared; pairs that a chain doesn't hold meet in other bands or are joined through common
 neighbours. Before anything is shuffled, equal sets in a block collapse into one, and a task that holds
 more than REPS members of a band chains them itself and passes on REPS of them: a group of copies of any
-size reaches a reducer as a few rows from each task. Links are confirmed on the full sets of shingles.
+size reaches a reducer as a few rows from each task. Links are confirmed on the full sets of shingles: two partners of
+each document first, then those of the other pairs whose documents aren't in one group yet.
 
 Null or wordless texts have no shingles and are linked with nothing. Rows that repeat a document id count
 as one document. Rows with a null id get their size, no component, and stay. Sets are compared as 64-bit hashes of their shingles.
@@ -264,15 +265,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     local = signed.filter("kind in (1, 3)").select("a", "b", (F.col("kind") == 3).alias("sure"))
     pairs = materialise(local.unionByName(bands).unionByName(equal).groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-pairs")
     texts = rows.filter("doc_id is not null and text is not null")
-    first = pairs.filter("not sure").select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    checked = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    links = checked.mapInArrow(lambda batches: confirmed(batches, size, percent), "a long, b long").unionByName(pairs.filter("sure").select("a", "b"))
-    groups = components(links)
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+
+    def confirm(asked):
+        both = asked.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+        return both.mapInArrow(lambda batches: confirmed(batches, size, percent), "a long, b long")
+
+    # two partners of each document first; of the other pairs only those that aren't joined by then
+    unsure = pairs.filter("not sure").select("a", "b")
+    drawn = F.struct(F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"))
+    first = unsure.groupBy("b").agg(F.min(drawn).alias("one"), F.max(drawn).alias("two")).select(F.explode(F.array_distinct(F.array("one.a", "two.a"))).alias("a"), "b")
+    early = materialise(confirm(first).unionByName(pairs.filter("sure").select("a", "b")), "near-links")
+    known = components(early)
+    of_a = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = unsure.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    groups = components(confirm(apart.join(first, ["a", "b"], "left_anti")).unionByName(early))
     out = signed.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     out = out.join(groups, out.doc_id == groups.node, "left").drop("node")
     component = F.coalesce("component", "doc_id")
     done = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     done = materialise(done, "near-groups")  # so that what is larger can go
-    for used in (signed, pairs, groups):
+    for used in (signed, pairs, early, known, groups):
         discard(used)
     return done
