@@ -10,12 +10,16 @@ operations a rank.
 With BANDS bands of ROWS places a pair of similarity 0.8 shares no band with probability
 (1 - 0.8^5)^48, about 5e-9. Documents that share a band are compared along a chain in random order
 (another one in each band) and with its first member, so a group of g documents gives about 3 g pairs,
-never g squared; pairs that a chain doesn't hold meet in other bands or are joined through common
-neighbours. Before anything is shuffled, equal sets in a block collapse into one, and a task that holds
+never g squared. Before anything is shuffled, equal sets in a block collapse into one, and a task that holds
 more than REPS members of a band chains them itself and passes on REPS of them: a group of copies of any
 size reaches a reducer as a few rows from each task. Links are confirmed on the full sets of shingles: two partners of
 each document first, then those of the other pairs whose documents aren't in one group yet.
 
+A chain holds all pairs of up to CHAINED members. Larger bands stay open until all their members are in one
+group or every pair of two groups has been compared: in each round some members, those with most links
+first, are compared with all members of other groups and then leave the band (``settle``). So the centre of a
+star joins its copies in the first round, and no pair that shares a band is left out.
+
 Null or wordless texts have no shingles and are linked with nothing. Rows that repeat a document id count
 as one document. Rows with a null id get their size, no component, and stay. Sets are compared as 64-bit hashes of their shingles.
 """
@@ -31,6 +35,7 @@ from .common import U64, as_text, block_batch, blocks, by_bucket, discard, mater
 from .components import components
 
 BANDS, ROWS, REPS = 48, 5, 8
+CHAINED = 4  # so many members are paired all with all by a chain
 FIT = 100_000  # shingles whose permutations are held at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -121,7 +126,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def chain(key: np.ndarray, doc: np.ndarray, size: np.ndarray, least: float, reps: int | None):
-    """Pairs among the members of each key, and which rows to pass on.
+    """Pairs among the members of each key, which rows to pass on, and which rows stay open: those not
+    passed on, or without ``reps`` those of keys with more than CHAINED members.
 
     Members stand in a random order that differs from key to key; each is paired with the next two and with the first.
     """
@@ -142,7 +148,7 @@ def chain(key: np.ndarray, doc: np.ndarray, size: np.ndarray, least: float, reps
     a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
     good = (a != b) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]))
     pairs = np.unique(np.stack([a[good], b[good]], 1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
-    return pairs, (order[nth < reps] if reps else None)
+    return pairs, (order[nth < reps] if reps else None), order[nth >= reps] if reps else order[count > CHAINED]
 
 
 def confirmed(batches, size: int, percent: int):
@@ -168,6 +174,55 @@ def confirmed(batches, size: int, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def settle(wide: DataFrame, kinds: list, links: DataFrame, groups: DataFrame, asked: DataFrame, confirm, percent: int) -> DataFrame:
+    """Groups (node, component) after all pairs of two groups that share one of the wide bands have been compared.
+
+    ``wide`` holds blocks of band, document, size; ``asked`` the pairs compared before, or within one group.
+    In each round a band's members are dealt into slots, four times as many as before; of each slot the one with
+    most links is compared with all members of other groups and leaves the band. A band leaves when one group holds it.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in unblock([body], kinds)], ["band", "doc", "many"])
+
+    members = wide.mapInArrow(rows, "band long, doc long, many long")
+    both = links.filter("a <> b").select(F.explode(F.array("a", "b")).alias("doc"))
+    degrees = both.groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
+    slots, used = 1, []
+    while True:
+        of = groups.select(F.col("node").alias("doc"), "component")
+        own = members.join(of, "doc", "left").select("band", "doc", "many", F.coalesce("component", "doc").alias("group"))
+        mixed = own.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("band")
+        open_ = materialise(own.join(mixed, "band", "left_semi"), "near-open")
+        if open_.isEmpty():
+            discard(open_)
+            break
+        ranked = open_.join(degrees, "doc", "left").select("band", "doc", "many", "group", F.pmod(F.xxhash64("doc", F.lit(slots)), F.lit(slots)).alias("slot"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        best = ranked.groupBy("band", "slot").agg(F.max(F.struct("degree", F.xxhash64("doc").alias("h"), "doc", "many", "group")).alias("top"))
+        pivots = materialise(best.select("band", F.col("top.doc").alias("pivot"), F.col("top.many").alias("size"), F.col("top.group").alias("other")), "near-pivots")
+        near = 100 * F.least("many", "size") >= percent * F.greatest("many", "size")
+        met = open_.join(pivots, "band").filter((F.col("group") != F.col("other")) & near)
+        new = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+        for before in (asked, *used):
+            new = new.join(before, ["a", "b"], "left_anti")
+        new = materialise(new, "near-asked")
+        found = materialise(confirm(new), "near-links")
+        rest = open_.join(pivots.select("band", F.col("pivot").alias("doc")), ["band", "doc"], "left_anti").select("band", "doc", "many")
+        rest = materialise(rest, "near-rest")
+        if not found.isEmpty():
+            merged = components(found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            discard(groups)
+            groups = merged
+        for table in (open_, pivots, found, *([members] if slots > 1 else [])):
+            discard(table)
+        members, slots, used = rest, slots * 4, [*used, new]
+    for table in (*used, *([members] if slots > 1 else [])):
+        discard(table)
+    return groups
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (is that document) of each row.
 
@@ -192,10 +247,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
             out = []
             if held[0]:
                 band, doc, many = (np.concatenate(x) for x in held[:3])
-                pairs, rest = chain(band, doc, many, least, REPS)
+                pairs, rest, local = chain(band, doc, many, least, REPS)
                 if len(pairs):
                     yield batch_of(1, pairs[:, 0], pairs[:, 1])
                 out += blocks((band[rest] % U64(n)).astype(np.int32), [band[rest], doc[rest], many[rest]])
+                if len(local):
+                    out += [(2 * n, body) for _, body in blocks(np.zeros(len(local), np.int32), [band[local], doc[local], many[local]])]
             if exact:
                 one, two, doc = (np.concatenate(x) for x in zip(*exact, strict=True))
                 out += [(n + k, body) for k, body in blocks((one % U64(n)).astype(np.int32), [one, two.view(np.int64), doc])]
@@ -245,8 +302,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 
     def meet(bodies):
         band, doc, many = unblock(bodies, kinds)
-        pairs, _ = chain(band, doc, many, least, None)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array([False] * len(pairs), pa.bool_())], ["a", "b", "sure"])
+        pairs, _, wide = chain(band, doc, many, least, None)
+        m = len(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array([False] * m, pa.bool_()), pa.nulls(m, pa.binary())], ["a", "b", "sure", "body"])
+        if len(wide):
+            held = [body for _, body in blocks(np.zeros(len(wide), np.int32), [band[wide], doc[wide], many[wide]])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array(held, pa.binary())], ["a", "b", "sure", "body"])
 
     def same(bodies):
         one, two, doc = unblock(bodies, kinds)
@@ -258,10 +319,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         rest = head != doc
         yield pa.RecordBatch.from_arrays([pa.array(head[rest], pa.int64()), pa.array(doc[rest], pa.int64()), pa.array([True] * int(rest.sum()), pa.bool_())], ["a", "b", "sure"])
 
-    # buckets below n hold bands, the others equal sets
+    # buckets below n hold bands, those below 2 n equal sets, the last one what tasks don't pass on
     dealt = signed.filter("kind = 2").select("bucket", "body")
-    bands = by_bucket(dealt.filter(F.col("bucket") < n), n, meet, "a long, b long, sure boolean")
-    equal = by_bucket(dealt.filter(F.col("bucket") >= n), n, same, "a long, b long, sure boolean")
+    met = materialise(by_bucket(dealt.filter(F.col("bucket") < n), n, meet, "a long, b long, sure boolean, body binary"), "near-met")
+    bands = met.filter("body is null").select("a", "b", "sure")
+    equal = by_bucket(dealt.filter((F.col("bucket") >= n) & (F.col("bucket") < 2 * n)), n, same, "a long, b long, sure boolean")
+    wide = dealt.filter(F.col("bucket") == 2 * n).select("body").unionByName(met.filter("body is not null").select("body"))
     local = signed.filter("kind in (1, 3)").select("a", "b", (F.col("kind") == 3).alias("sure"))
     pairs = materialise(local.unionByName(bands).unionByName(equal).groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-pairs")
     texts = rows.filter("doc_id is not null and text is not null")
@@ -281,12 +344,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     of_a = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     of_b = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = unsure.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    groups = components(confirm(apart.join(first, ["a", "b"], "left_anti")).unionByName(early))
+    late = materialise(confirm(apart.join(first, ["a", "b"], "left_anti")).unionByName(early), "near-links")
+    groups = settle(wide, kinds, late, components(late), unsure, confirm, percent)
     out = signed.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     out = out.join(groups, out.doc_id == groups.node, "left").drop("node")
     component = F.coalesce("component", "doc_id")
     done = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     done = materialise(done, "near-groups")  # so that what is larger can go
-    for used in (signed, pairs, early, known, groups):
+    for used in (signed, met, pairs, early, known, late, groups):
         discard(used)
     return done

@@ -107,6 +107,44 @@ def test_groups_match_brute_force(spark, monkeypatch, seed, reps):
     assert got == want
 
 
+@pytest.mark.parametrize("copies", [300, 3000])
+def test_stars_are_joined_by_their_centre(spark, copies):
+    """Copies edited each at places of its own: similar enough to the base, not to one another."""
+    rng = random.Random(copies)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for k in range(copies):
+        own = list(base)
+        for at in rng.sample(range(0, 200, 4), 5):
+            own[at] = f"x{k}y{at}"
+        texts.append(" ".join(own))
+    own = sets(texts[:60], 4)
+    assert all(len(x & own[0]) >= 0.8 * len(x | own[0]) for x in own)
+    assert sum(len(x & y) >= 0.8 * len(x | y) for x in own[1:] for y in own[1:] if x is not y) < 60
+    ids = rng.sample(range(10**6), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, size=4).collect()}
+    assert got == dict.fromkeys(ids, min(ids))
+
+
+def test_wide_bands_of_several_groups(spark):
+    """Documents that share half of their text meet in wide bands without being alike."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for k in range(40):
+        half = base[:140] + [f"k{k}v{i}" for i in range(60)]
+        for j in range(6):
+            own = list(half)
+            for at in rng.sample(range(0, 200, 4), 4):
+                own[at] = f"x{k}y{j}z{at}"
+            texts.append(" ".join(own))
+    ids = rng.sample(range(10**6), len(texts))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, size=4).collect()}
+    assert got == brute(ids, texts, 4, 80)
+
+
 def test_empty_null_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (3, None), (4, ""), (5, "A b c d e")], "doc_id long, text string")
     got = sorted(map(str, (tuple(r) for r in neardup.near_duplicates(df, size=4).collect())))
