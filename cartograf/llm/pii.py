@@ -6,10 +6,12 @@ network is trained here, in numpy, from labelled spans: sentences with personal
 spellings, and look-alikes (dates, prices, versions, keys) that carry no label. It reads classes of
 characters, so its size doesn't depend on the alphabet.
 
-No kind can do without a digit or an ``@``. The network therefore reads all stretches of text within
-``REACH`` characters of one, whole documents long if need be, in windows of ``WINDOW`` characters that
-overlap by half. Each character takes its tag from the window in whose middle it lies; runs of one tag
-that cross windows are one span. Spans that touch one of the rules' spans are left to the rules.
+The network reads texts in windows of ``WINDOW`` characters that overlap by half, from the start of each
+text. Each character takes its tag from the window in whose middle it lies; runs of one tag that cross
+windows are one span. No kind can do without a digit or an ``@``, so windows that answer for neither are
+read only where a run of tags reaches them: the spans are those of reading all windows. An added e-mail
+address reaches to the ends of its unbroken run of address characters. Spans that touch one of the rules'
+spans are left to the rules.
 
 Null texts are empty. Rows that repeat and further columns pass through; columns named like added ones are replaced.
 """
@@ -24,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ragged, slices
+from .common import slices
 from .tokens import extended, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, REACH = 64, 24
+WINDOW = 64
 EMBED, HIDDEN, TAGS = 8, 16, 1 + len(KINDS)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,6 +38,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = _LOCAL - frozenset("_%+")
 
 
 def luhn(digits: str) -> bool:
@@ -277,55 +280,69 @@ def trained(seed: int = 5, examples: int = 1600, epochs: int = 5, batch: int = 3
     return model
 
 
-def tagged(model: Tagger, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Tag of every character; bounds are the texts' offsets in ``codes``. Characters out of reach get 0."""
+def tagged(model: Tagger, codes: np.ndarray, bounds: np.ndarray, whole: bool = False) -> np.ndarray:
+    """Tag of every character; bounds are the texts' offsets in ``codes``.
+
+    Unless ``whole``, windows in reach of no digit, ``@`` or run of tags that begins at one are not read and give 0.
+    """
     out = np.zeros(len(codes), np.int8)
-    trigger = np.flatnonzero(((codes >= 48) & (codes < 58)) | (codes == 64))
-    if not len(trigger):
-        return out
+    trigger = np.arange(len(codes)) if whole else np.flatnonzero(((codes >= 48) & (codes < 58)) | (codes == 64))
+    half, classes = WINDOW // 2, char_classes()
+    count = np.maximum(1, -(-(np.diff(bounds) - half) // half))
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])  # windows are numbered through all texts
+    read = np.zeros(first[-1], bool)
     text = np.searchsorted(bounds, trigger, "right") - 1
-    start, end = np.maximum(trigger - REACH, bounds[text]), np.minimum(trigger + REACH + 1, bounds[text + 1])
-    new = np.ones(len(trigger), bool)
-    new[1:] = (start[1:] > end[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    start, end = start[first], end[np.append(first[1:], len(trigger)) - 1]
-    half = WINDOW // 2
-    count = np.maximum(1, -(-(end - start - half) // half))
-    of = np.repeat(np.arange(len(start)), count)
-    begin = start[of] + half * ragged(np.zeros(len(start), np.int64), count)
-    classes = char_classes()
-    for a in range(0, len(begin), 4096):
-        own, stop = begin[a : a + 4096], end[of[a : a + 4096]]
-        at = own[:, None] + np.arange(WINDOW)
-        inside = at < stop[:, None]
-        seen = np.minimum(codes[np.minimum(at, len(codes) - 1)], 128)
-        tags = model.decode(np.where(inside, classes[seen], 0))
-        # each window answers for its middle half, the outer ones also for the ends of the stretch
-        low = np.where(own == start[of[a : a + 4096]], 0, half // 2)
-        high = np.where(own + WINDOW >= stop, WINDOW, half + half // 2)
-        mine = inside & (np.arange(WINDOW) >= low[:, None]) & (np.arange(WINDOW) < high[:, None])
-        out[at[mine]] = tags[mine]
+    asked = np.unique(first[text] + np.clip((trigger - bounds[text] - half // 2) // half, 0, count[text] - 1))
+    while len(asked):
+        read[asked] = True
+        more = []
+        for a in range(0, len(asked), 4096):
+            own = asked[a : a + 4096]
+            of = np.searchsorted(first, own, "right") - 1
+            begin, stop = bounds[of] + half * (own - first[of]), bounds[of + 1]
+            at = begin[:, None] + np.arange(WINDOW)
+            inside = at < stop[:, None]
+            seen = np.minimum(codes[np.minimum(at, len(codes) - 1)], 128)
+            tags = model.decode(np.where(inside, classes[seen], 0))
+            # each window answers for its middle half, the outer ones also for the ends of the text
+            head, tail = own == first[of], own == first[of + 1] - 1
+            low, high = np.where(head, 0, half // 2), np.where(tail, WINDOW, half + half // 2)
+            mine = inside & (np.arange(WINDOW) >= low[:, None]) & (np.arange(WINDOW) < high[:, None])
+            out[at[mine]] = tags[mine]
+            row = np.arange(len(own))
+            more += [own[~head & (tags[row, low] > 0)] - 1, own[~tail & (tags[row, high - 1] > 0)] + 1]
+        asked = np.unique(np.concatenate(more))
+        asked = asked[~read[asked]]
     return out
 
 
 def added_spans(text: str, tags: np.ndarray, rules: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of one tag, trimmed and plausible for their kind, that touch none of the rules' spans."""
+    """Runs of one tag, trimmed, addresses to their ends, plausible for their kind, that touch none of the rules' spans."""
     edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
-    out = []
+    out, last = [], 0
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         kind = int(tags[a]) - 1
-        if kind < 0:
+        a = max(a, last)  # the span before may have been widened
+        if kind < 0 or a >= b:
             continue
         while a < b and not (text[a].isalnum() or text[a] in "+("):
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
+        if kind == 0 and "@" in text[a:b].strip("@"):
+            low, high = max([last, *(y for _, y, _ in rules if y <= a)]), min([len(text), *(x for x, *_ in rules if x >= b)])
+            while a > low and text[a - 1] in _LOCAL:
+                a -= 1
+            while b < high and text[b] in _HOST:
+                b += 1
+            b = a + len(text[a:b].rstrip(".-"))
         piece = text[a:b]
         digits = sum(c in "0123456789" for c in piece)
         letters = any(c.isalpha() for c in piece)
         fits = ("@" in piece.strip("@"), piece.count(".") == 3 and digits >= 4 and not letters, 12 <= digits <= 19 and not letters and luhn("".join(c for c in piece if c in "0123456789")), 9 <= digits <= 15 and not letters and not piece.isdigit())[kind]
         if fits and not any(x < b and a < y for x, y, _ in rules):
             out.append((a, b, kind))
+            last = b
     return out
 
 

@@ -92,6 +92,28 @@ def test_long_stretches_agree_across_windows():
     assert sum(text[a:b] == "(555) 123-4567" for a, b, _ in found) >= 36
 
 
+def test_windows_read_suffice():
+    model, rng = pii.trained(), np.random.default_rng(4)
+    texts = [t for t, _ in pii.labelled(rng, 60)] + ["", "a" * 200, "x" * 150 + "@" + "y" * 150]
+    texts = ["".join(texts[k] if rng.random() < 0.5 else "plain words here, " * int(rng.integers(1, 12)) for k in rng.integers(0, len(texts), 6)) for _ in range(60)] + texts
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    bounds = np.cumsum([0, *map(len, texts)])
+    some, every = pii.tagged(model, codes, bounds), pii.tagged(model, codes, bounds, whole=True)
+    for t, a, b in zip(texts, bounds, bounds[1:]):
+        rules = pii.rule_spans(t)
+        assert pii.added_spans(t, some[a:b], rules) == pii.added_spans(t, every[a:b], rules)
+
+
+@pytest.mark.parametrize("local", [10, 25, 38, 70])
+@pytest.mark.parametrize("host", ["localhost", "mailhost-of-the-intranet-of-this-house"])
+def test_long_addresses_are_whole(spark, local, host):
+    address = ("margarethe_von_" * 8)[: local - 1] + "a@" + host
+    texts = [before + address + after for before in ("", "please write to ", "word " * 30) for after in ("", " about it")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in pii.find_personal_data(df).collect()}
+    assert got == {k: t.replace(address, "[EMAIL]") for k, t in enumerate(texts)}
+
+
 def test_columns(spark):
     rows = [(1, "é mail bob.9@mail7.example.com, 10.0.0.1 and 4652511922028856 or +1 (811) 555-3281.", 1), (2, None, 2), (3, "nothing here", 3), (4, "", 4), (5, "call 555-123-4567 or root@server today", 5), (6, "word " * 20000 + "9.9.9.9", 6), (6, "word " * 20000 + "9.9.9.9", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, Spans long")
