@@ -352,11 +352,13 @@ def relabelled_nodes(g):
 
 @on_graph
 def resolve_endpoints(g):
-    """Textual ends, some of several meanings, against part of the graph: names, tails, paths, file names, unknown ones."""
-    stored = g.nodes.filter(F.col("kind").isin("module", "service", "class", "function"))
-    raw = F.when(F.col("kind") == "service", F.upper("name")).when(F.col("kind") == "function", F.element_at(F.split("qualified_name", "::"), -1)).when(F.col("kind") == "class", F.concat(F.lit("new "), "name", F.lit("()"))).otherwise("file_path")
-    raws = stored.select(F.when(F.col("kind") == "function", "calls").otherwise("imports").alias("kind"), F.lit("/ws/src/runtime/main.py").alias("source_file"), raw.alias("raw")).distinct()
-    return resolve.resolve_names(raws, stored.limit(0), stored).select("kind", "raw", "resolved")
+    """Textual ends, some of several meanings, of all nodes against a patch and the whole graph: names, tails, paths, file names."""
+    local = S.conform(patch.last_wins(_patch(g), "id", "seq"), S.NODES)
+    kind, tail = F.col("kind"), F.element_at(F.split("qualified_name", "::"), -1)
+    text = F.when(kind == "service", F.upper("name")).when(kind == "function", tail).when(kind == "class", F.concat(F.lit("new "), "name", F.lit("()"))).when(kind == "method", F.col("name")).otherwise(F.col("file_path"))
+    asked = g.nodes.unionByName(local).select(kind, F.explode(F.array(text, "name", "file_path")).alias("raw"))
+    raws = asked.select(F.when(kind.isin("function", "method"), "calls").otherwise("imports").alias("kind"), F.lit("/ws/src/runtime/main.py").alias("source_file"), "raw").distinct()
+    return resolve.resolve_names(raws, local, g.nodes).select("kind", "raw", "resolved")
 
 
 @query

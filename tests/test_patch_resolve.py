@@ -103,3 +103,59 @@ def test_meta(tmp_path):
     assert store.mark_dirty(folder, ["b", "c"])["dirtyFiles"] == ["a", "b", "c"]
     assert store.clear_dirty(folder, ["a"]) == ["b", "c"] and store.get_meta(folder)["lastUpdateReason"] == "partial update remaining"
     assert store.clear_dirty(folder) == []
+
+
+def test_registered_endpoints_match_brute_force(spark, monkeypatch):
+    """All kinds are asked for and found, the patch's nodes first."""
+    from cartograf.plans import queries
+
+    at = lambda p, q=None: {"file_path": p, "qualified_name": q}
+    rows = [
+        ("namespace:0", "namespace", "ASIA", at("/ws/src/graph/regions.ts", "ASIA")),
+        ("module:0", "module", "CHINA", at("/ws/src/graph/nation_0.ts", "CHINA")),
+        ("service:3", "service", "Supplier#3", at("/ws/src/runtime/supplier_0.py", "Supplier#3")),
+        ("service:4", "service", "Supplier#4", at("/ws/src/runtime/supplier_0.py", "Supplier#4")),
+        ("class:1", "class", "Customer#1", at("/ws/src/ui/customer_0.ts", "Customer#1")),
+        ("function:1", "function", "go", at("/ws/src/tools/brand_1.rs", "B::go")),
+        ("function:2", "function", "order_2", at("/ws/src/tools/brand_1.rs", "B::order_2")),
+        ("method:1", "method", "order_1", at("/ws/src/core/prio_1.cpp")),
+        ("method:2", "method", "order_2", at("/ws/src/core/prio_1.cpp")),
+        ("method:3", "method", "order_3", at("/ws/src/core/prio_2.cpp")),
+    ]
+    g = make(spark, rows, [])
+    monkeypatch.setattr(queries, "derived_graph", lambda *_: g)
+    got = {(r.kind, r.raw): r.resolved for r in queries.QUERIES["resolve_endpoints"](spark, "").collect()}
+
+    def score(kind, n):
+        _, k, name, more = n
+        here, path = "/ws/src/runtime", more["file_path"]
+        total = (name == name.rsplit("/", 1)[-1]) + 4 * (path.rsplit("/", 1)[0] == here) + 2 * path.startswith(here)
+        total += 2 * path.endswith(".cpp") if kind == "imports" else 5
+        return total + bool(more["qualified_name"] and "::" not in more["qualified_name"])
+
+    def best(kind, raw, nodes, exact):
+        fold = (lambda s: s) if exact else str.lower
+        text = raw.removeprefix("new ").removesuffix("()")
+        found = []
+        for n in nodes:
+            q, path = n[3]["qualified_name"] or "", n[3]["file_path"]
+            names = {fold(x) for x in (n[2], q, q.split("::")[-1]) if x}
+            texts = {text, text.split("::")[-1], text.split("/")[-1], text.split(".")[-1]}
+            if any(fold(t) in names or t == path or fold(t) == fold(path.rsplit("/", 1)[-1]) for t in texts):
+                found.append((score(kind, n), n[0]))
+        top = [i for s, i in found if s == max(found)[0]]
+        return bool(found), top[0] if len(top) == 1 else None
+
+    patched = [("service:3", "service", "New Supplier#3", rows[2][3])]
+    want = {}
+    for _, k, name, more in rows + patched:
+        text = {"service": name.upper(), "function": name, "class": f"new {name}()", "method": name}.get(k, more["file_path"])
+        for raw in (text, name, more["file_path"]):
+            kind = "calls" if k in ("function", "method") else "imports"
+            met, found = best(kind, raw, patched, True)
+            met, found = (met, found) if met else best(kind, raw, rows, False)
+            if met:
+                want[kind, raw] = found
+    assert got == want
+    assert got["calls", "order_1"] == "method:1" and got["calls", "order_2"] is None and got["imports", "/ws/src/graph/regions.ts"] == "namespace:0"
+    assert got["imports", "/ws/src/runtime/supplier_0.py"] == "service:3" and got["calls", "/ws/src/core/prio_1.cpp"] is None and got["calls", "/ws/src/core/prio_2.cpp"] == "method:3"
