@@ -42,11 +42,10 @@ def dirty_paths(events: DataFrame, root: str, own_tools: str = "graph_") -> Data
     every = F.concat(named, F.coalesce("files", F.array().cast("array<string>")), F.coalesce("paths", F.array().cast("array<string>")))
     touched = events.filter(write_like("tool_name") & ~F.col("tool_name").startswith(own_tools)).select(F.explode(every).alias("path")).filter(F.trim("path") != "")
     full = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(root + "/"), "path"))
-    # "/./" and "//" collapse; paths that climb are judged by what is left after one-by-one removal of "a/.."
-    full = F.regexp_replace(F.regexp_replace(full, "/(\\./)+", "/"), "/+", "/")
-    for _ in range(4):
-        full = F.regexp_replace(full, r"/(?!\.\./)[^/]+/\.\.(?=/|\z)", "")
-    return touched.select(full.alias("path")).filter(X.contained("path", root) & ~F.col("path").contains("/../") & is_source("path"))
+    # as posixpath.normpath: "" and "." go, ".." takes the segment before it, at any depth
+    walk = lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(x.isin("", "."), kept).otherwise(F.concat(kept, F.array(x)))
+    full = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), walk), "/"))
+    return touched.select(full.alias("path")).filter(X.contained("path", root) & is_source("path"))
 
 
 def dirty_set(events: DataFrame, root: str) -> DataFrame:

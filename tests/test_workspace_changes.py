@@ -92,3 +92,10 @@ def test_workspace_to_reports(spark, tmp_path):
     assert report.inspect(g, "zzz") == "No symbols found matching: zzz"
     overview = report.overview(g, s.revision())
     assert "| class | 1 |" in overview and "### Core Runtime Hubs" in overview
+
+
+def test_parent_steps_at_any_depth(spark):
+    names = [f"{'/'.join('abcdefgh'[:k])}/{'../' * j}x{k}{j}.ts" for k in range(1, 9) for j in range(11)] + ["/ws/a/b/c/d/e/../../../../../x.ts", "./a//./b/../y.ts", "/../ws/z.ts"]
+    df = spark.createDataFrame([("write_file", {"path": n}, None, None) for n in names], "tool_name string, params map<string,string>, files array<string>, paths array<string>")
+    want = {changes.normalized(n, "/ws") for n in names} - {None}
+    assert {r.path for r in changes.dirty_set(df, "/ws").collect()} == want and "/ws/x.ts" in want
