@@ -121,7 +121,8 @@ def at_depth(depths: list[tuple[int, int]], place: int) -> int:
     return depths[bisect.bisect_right(depths, (place, 1 << 30)) - 1][1]
 
 
-CALL = re.compile(r"((?:[A-Za-z_$][\w$]*(?:<[\w:, ]*>)?(?:\s*(?:\.|->|::|\?\.)\s*)?)+)\s*(!?)\(")
+# words are taken whole: one that could be cut anywhere would be tried in all its cuts
+CALL = re.compile(r"(?<![A-Za-z_$])((?:[A-Za-z_$][\w$]*+(?:<[\w:, ]*+>)?(?:\s*+(?:\.|->|::|\?\.)\s*+)?)+)\s*+(!?)\(")
 KEYWORDS = frozenset("if for while switch return catch sizeof function match loop else do constructor super typeof new in of await fn impl where case throw alignof decltype defined".split())
 
 

@@ -46,7 +46,7 @@ def parse(path: str, content: str) -> Builder:
         b.type_references(f"impl:{path}:{name}", text[m.start() : end], 0.68, "rust", m.start(), end)
         if m.group(1):
             b.edge("implements", f"struct:{path}:{name}", m.group(1).strip(), 1.0, m.start(), end)
-    items = [(m, item_end(text, m.end())) for m in ITEM.finditer(text) if not re.search(r"[\w.]\Z", text[: m.start()][-1:])]
+    items = [(m, item_end(text, m.end())) for m in ITEM.finditer(text) if not re.match(r"[\w.]", text[max(0, m.start() - 1) : m.start()])]
     for m, end in items:
         if m.group(1) != "fn":
             scopes.append((m.start(), end, m.group(2)))
