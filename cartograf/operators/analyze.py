@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalars as X
-from .graph import components, degrees, numbered
+from ..sources.shared import cut
+from .graph import components, edge_counts, numbered
 
 
 def nodes_by_kind(nodes: DataFrame) -> DataFrame:
@@ -21,8 +22,7 @@ def nodes_by_language(nodes: DataFrame) -> DataFrame:
 
 def rank_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rankable nodes that have edges, with fan_in, fan_out, centrality (3 x in + out) and decision_score."""
-    ranked = nodes.filter(~F.col("kind").isin(*S.NOT_RANKED))
-    ranked = ranked.join(degrees(ranked, edges), "id").withColumn("centrality", F.col("fan_in") * 3 + F.col("fan_out")).filter("centrality > 0")
+    ranked = nodes.filter(~F.col("kind").isin(*S.NOT_RANKED)).join(edge_counts(edges), "id").withColumn("centrality", F.col("fan_in") * 3 + F.col("fan_out"))
     return ranked.withColumn("decision_score", X.decision_score())
 
 
@@ -36,9 +36,10 @@ def top(ranked: DataFrame, order: tuple[str, ...], k: int) -> DataFrame:
 
 
 def workspace_top(ranked: DataFrame, path: str, order: tuple[str, ...], k: int) -> DataFrame:
-    """Best k that aren't foreign code; of all, if there is nothing else."""
-    own = top(ranked.filter(~X.third_party(path)), order, k)
-    return top(ranked, order, k) if own.isEmpty() else own
+    """Best k that aren't foreign code; of all, if there is nothing else. One pass: foreign code ranks last and goes if own code is there."""
+    best = top(ranked.withColumn("__foreign", X.third_party(path).cast("int")), ("__foreign", *order), k)
+    least = F.min("__foreign").over(W.partitionBy(F.lit(0)))  # over k rows
+    return best.withColumn("__least", least).filter("__foreign = __least").drop("__foreign", "__least")
 
 
 def recommendations(ranked: DataFrame, k: int = 5) -> DataFrame:
@@ -57,19 +58,23 @@ def file_edges(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFram
     return found.withColumn("weight", X.edge_weight())
 
 
-def file_fan(files: DataFrame, between: DataFrame) -> DataFrame:
+def file_pairs(between: DataFrame) -> DataFrame:
+    """from_path, to_path, n (edges), weight (their sum): no more rows than pairs of files that have edges."""
+    return between.groupBy("from_path", "to_path").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
+def file_fan(files: DataFrame, pairs: DataFrame) -> DataFrame:
     """path, fan_in, fan_out, centrality; edges within a file count."""
-    pairs = between.groupBy("from_path", "to_path").agg(F.count(F.lit(1)).alias("n"))
     into = pairs.groupBy(F.col("to_path").alias("path")).agg(F.sum("n").alias("fan_in"))
     out = pairs.groupBy(F.col("from_path").alias("path")).agg(F.sum("n").alias("fan_out"))
     joined = files.select("path").join(into, "path", "left").join(out, "path", "left").na.fill(0, ["fan_in", "fan_out"])
     return joined.withColumn("centrality", F.col("fan_in") * 3 + F.col("fan_out"))
 
 
-def weighted_neighbors(between: DataFrame) -> DataFrame:
+def weighted_neighbors(pairs: DataFrame) -> DataFrame:
     """path, neighbor, weight between different files: full weight forward, half backward; at least 1 in sum."""
-    pairs = between.filter("from_path <> to_path").groupBy("from_path", "to_path").agg(F.sum("weight").alias("w"))
-    ways = pairs.select(F.col("from_path").alias("path"), F.col("to_path").alias("neighbor"), "w").unionByName(pairs.select(F.col("to_path").alias("path"), F.col("from_path").alias("neighbor"), (F.col("w") * 0.5).alias("w")))
+    way = lambda path, neighbor, share: F.struct(F.col(path).alias("path"), F.col(neighbor).alias("neighbor"), (F.col("weight") * share).alias("w"))
+    ways = pairs.filter("from_path <> to_path").select(F.inline(F.array(way("from_path", "to_path", 1.0), way("to_path", "from_path", 0.5))))
     return ways.groupBy("path", "neighbor").agg(F.sum("w").alias("weight")).filter("weight >= 1")
 
 
@@ -92,21 +97,22 @@ def label_vote(files: DataFrame, near: DataFrame, carry: bool = True) -> DataFra
     return out
 
 
-def file_components(files: DataFrame, between: DataFrame) -> DataFrame:
+def file_components(files: DataFrame, pairs: DataFrame) -> DataFrame:
     """path, component (numbered in the order of smallest paths) of the undirected graph of files."""
-    links = between.select(F.col("from_path").alias("a"), F.col("to_path").alias("b")).distinct()
+    links = pairs.select(F.col("from_path").alias("a"), F.col("to_path").alias("b"))
     return numbered(components(links, files.select(F.col("path").alias("item")))).select(F.col("item").alias("path"), "component")
 
 
 def file_topology(nodes: DataFrame, edges: DataFrame, files: DataFrame, carry: bool = True) -> DataFrame:
-    """path, fan_in, fan_out, centrality, domain, subsystem, cluster_id of each file."""
-    between = file_edges(nodes, edges, files).persist()
-    try:
-        cluster = F.concat(F.lit("cluster:"), F.col("component").cast("string"), F.lit(":"), X.cluster_of("domain", "subsystem"))
-        voted = label_vote(files, weighted_neighbors(between), carry)
-        return file_fan(files, between).join(voted, "path").join(file_components(files, between), "path").select("path", "fan_in", "fan_out", "centrality", "domain", "subsystem", cluster.alias("cluster_id"))
-    finally:
-        between.unpersist()
+    """path, fan_in, fan_out, centrality, domain, subsystem, cluster_id of each file.
+
+    What is as long as the nodes or edges is read once: the files' labels and the sums of file pairs are written to the shared folder.
+    """
+    files = cut(files.select("path", "domain", "subsystem"))
+    pairs = cut(file_pairs(file_edges(nodes, edges, files)))
+    cluster = F.concat(F.lit("cluster:"), F.col("component").cast("string"), F.lit(":"), X.cluster_of("domain", "subsystem"))
+    voted = label_vote(files, weighted_neighbors(pairs), carry)
+    return file_fan(files, pairs).join(voted, "path").join(file_components(files, pairs), "path").select("path", "fan_in", "fan_out", "centrality", "domain", "subsystem", cluster.alias("cluster_id"))
 
 
 def rank_files(topology: DataFrame) -> DataFrame:

@@ -31,11 +31,16 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node: str, direction: str = "o
     return own.join(named, own.other == named.node_id, "left").drop("other").withColumn("direction", F.lit(direction))
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, fan_in, fan_out of all nodes over architecture edges: one pass over the edges, partial sums before the shuffle."""
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """id, fan_in, fan_out of the ends of architecture edges: one pass over the edges, partial sums before the shuffle."""
     arch = edges.filter(X.is_architecture())
     ends = arch.select(F.explode(F.array(F.struct(F.col("to_id").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("from_id").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e"))
-    counted = ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.i").alias("fan_in"), F.sum("e.o").alias("fan_out"))
+    return ends.groupBy(F.col("e.id").alias("id")).agg(F.sum("e.i").alias("fan_in"), F.sum("e.o").alias("fan_out"))
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, fan_in, fan_out of all nodes over architecture edges."""
+    counted = edge_counts(edges)
     return nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
@@ -185,6 +190,14 @@ def components(links: DataFrame, items: DataFrame, most: int = 60) -> DataFrame:
 
 
 def numbered(label: DataFrame) -> DataFrame:
-    """Components numbered from 1 in the order of their smallest items: the numbers are counted over components, not items."""
-    heads = label.select("least").distinct()
-    return label.join(heads.withColumn("component", F.row_number().over(W.orderBy("least"))), "least")
+    """Components numbered from 1 in the order of their smallest items: the numbers are counted over components, not items.
+
+    Heads are sorted by range and counted within each range; a range's numbers begin after those of the ranges before it.
+    """
+    parts = max(1, int(label.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heads = cut(label.select("least").distinct().repartitionByRange(parts, "least").withColumn("range", F.spark_partition_id()))
+    held = heads.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = held.withColumn("before", F.sum("n").over(W.orderBy("range")) - F.col("n"))  # one row a range
+    nth = heads.withColumn("nth", F.row_number().over(W.partitionBy("range").orderBy("least")))
+    heads = nth.join(F.broadcast(before), "range").select("least", (F.col("nth") + F.col("before")).alias("component"))
+    return label.join(heads, "least")

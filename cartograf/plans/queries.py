@@ -13,7 +13,7 @@ from ..functions import scalars as X
 from ..operators import analyze, graph, patch, resolve, search
 from ..sources import store, workspace
 from ..sources.derived import Graph, derived_graph
-from ..sources.shared import shared_dir
+from ..sources.shared import cut, shared_dir
 from ..streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,25 +123,28 @@ def file_edges(g):
     return analyze.file_edges(g.nodes, g.edges, g.files).groupBy("from_path", "to_path", "kind").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
 
 
+def _pairs(g):
+    return analyze.file_pairs(analyze.file_edges(g.nodes, g.edges, g.files))
+
+
 @on_graph
 def file_fan(g):
-    return analyze.file_fan(g.files, analyze.file_edges(g.nodes, g.edges, g.files))
+    return analyze.file_fan(g.files, _pairs(g))
 
 
 @on_graph
 def weighted_file_neighbors(g):
-    return analyze.weighted_neighbors(analyze.file_edges(g.nodes, g.edges, g.files))
+    return analyze.weighted_neighbors(_pairs(g))
 
 
 @on_graph
 def file_label_vote(g):
-    between = analyze.file_edges(g.nodes, g.edges, g.files)
-    return analyze.label_vote(g.files, analyze.weighted_neighbors(between))
+    return analyze.label_vote(g.files, cut(analyze.weighted_neighbors(_pairs(g))))
 
 
 @on_graph
 def file_components(g):
-    return analyze.file_components(g.files, analyze.file_edges(g.nodes, g.edges, g.files)).withColumn("component", F.col("component").cast("long"))
+    return analyze.file_components(g.files, cut(_pairs(g))).withColumn("component", F.col("component").cast("long"))
 
 
 @on_graph
