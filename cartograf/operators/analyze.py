@@ -137,12 +137,16 @@ def file_counts(files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
 def overview(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """Tables of the overview report, from one ranking and one topology."""
     ranked = rank_nodes(nodes, edges).persist()
-    topology = file_topology(nodes, edges, files).persist()
+    try:
+        central, advised = cut(workspace_top(ranked, "file_path", RANK_ORDER, 10)), cut(recommendations(ranked))
+    finally:
+        ranked.unpersist()
+    topology = cut(file_topology(nodes, edges, files))
     return {
         "kinds": nodes_by_kind(nodes).orderBy(F.desc("count"), "kind"),
         "languages": nodes_by_language(nodes).orderBy(F.desc("count"), "language"),
-        "central_nodes": workspace_top(ranked, "file_path", RANK_ORDER, 10),
+        "central_nodes": central,
         "critical_files": workspace_top(rank_files(topology), "path", FILE_ORDER, 5),
-        "recommendations": recommendations(ranked),
+        "recommendations": advised,
         "domains": domain_summary(topology, files).orderBy(F.desc("hub_count"), F.desc("node_count"), "domain"),
     }
