@@ -15,10 +15,13 @@ more than REPS members of a band chains them itself and passes on REPS of them:
 size reaches a reducer as a few rows from each task. Links are confirmed on the full sets of shingles: two partners of
 each document first, then those of the other pairs whose documents aren't in one group yet.
 
-A chain holds all pairs of up to CHAINED members. Larger bands stay open until all their members are in one
-group or every pair of two groups has been compared: in each round some members, those with most links
-first, are compared with all members of other groups and then leave the band (``settle``). So the centre of a
-star joins its copies in the first round, and no pair that shares a band is left out.
+A chain holds all pairs of up to CHAINED members. Larger bands whose members aren't in one group by then are
+open: every two of their members from different groups are compared by sketch, two bits of each place of the
+signature (``alike``). A sketch tells a pair of similarity 0.8 from one that is out of question but for a
+chance of about 2e-8 (``least_equal`` is 5.5 standard deviations below the mean), so that few pairs leave the
+block in which they are compared; those are confirmed on the full sets. A band of more than BLOCK members is
+dealt out as pairs of blocks, so that no task holds more than two blocks of it. Thus the centre of a star meets
+its copies, and no pair that shares a band is left out.
 
 Null or wordless texts have no shingles and are linked with nothing. Rows that repeat a document id count
 as one document. Rows with a null id get their size, no component, and stay. Sets are compared as 64-bit hashes of their shingles.
@@ -26,16 +29,19 @@ as one document. Rows with a null id get their size, no component, and stay. Set
 
 from __future__ import annotations
 
+from itertools import chain as chain_of
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_text, block_batch, blocks, by_bucket, discard, materialise, mix64, raw, shuffle_partitions, slices, span_hashes, unblock, words_at
+from .common import U64, as_text, block_batch, blocks, by_bucket, discard, materialise, mix64, ragged, raw, shuffle_partitions, slices, span_hashes, unblock, words_at
 from .components import components
 
 BANDS, ROWS, REPS = 48, 5, 8
 CHAINED = 4  # so many members are paired all with all by a chain
+BLOCK = 4096  # members of a band that one task compares with as many others
 FIT = 100_000  # shingles whose permutations are held at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -156,15 +162,16 @@ def confirmed(batches, size: int, percent: int):
     for batch in batches:
         sets = []
         for column in ("ta", "tb"):
-            data, offsets = raw(as_text(batch.column(column)))
+            once = as_text(batch.column(column)).dictionary_encode()  # a text that stands in many pairs is read once
+            data, offsets = raw(once.dictionary)
             own: list[np.ndarray] = []
-            first = 0
-            while first < batch.num_rows:  # in slices, so that the arrays stay small
-                last = min(max(int(np.searchsorted(offsets, offsets[first] + (2 << 20), "right")) - 1, first + 1), batch.num_rows)
+            first, n = 0, len(once.dictionary)
+            while first < n:  # in slices, so that the arrays stay small
+                last = min(max(int(np.searchsorted(offsets, offsets[first] + (2 << 20), "right")) - 1, first + 1), n)
                 elements, at = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], size)
                 own += [elements[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
                 first = last
-            sets.append(own)
+            sets.append([own[k] for k in once.indices.to_pylist()])
         keep = []
         for a, b in zip(*sets, strict=True):
             both = np.concatenate([a, b])
@@ -174,12 +181,53 @@ def confirmed(batches, size: int, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def settle(wide: DataFrame, kinds: list, links: DataFrame, groups: DataFrame, asked: DataFrame, confirm, percent: int) -> DataFrame:
-    """Groups (node, component) after all pairs of two groups that share one of the wide bands have been compared.
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each place, as eight words a document."""
+    bits = np.zeros((len(signature), 256), U64)
+    bits[:, : signature.shape[1]] = signature & U64(3)
+    return np.bitwise_or.reduce(bits.reshape(-1, 8, 32) << (U64(2) * np.arange(32, dtype=U64)), axis=2)
+
+
+def equal_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of how many places two sketches (rows of words) hold the same bits."""
+    x = a ^ b
+    return BANDS * ROWS - np.bitwise_count((x | (x >> U64(1))) & U64(0x5555555555555555)).sum(1, dtype=np.int64)
+
 
-    ``wide`` holds blocks of band, document, size; ``asked`` the pairs compared before, or within one group.
-    In each round a band's members are dealt into slots, four times as many as before; of each slot the one with
-    most links is compared with all members of other groups and leaves the band. A band leaves when one group holds it.
+def alike(part: np.ndarray, block: np.ndarray, doc: np.ndarray, many: np.ndarray, group: np.ndarray, sketch: np.ndarray, percent: int, most: int = 200_000):
+    """Rows (i, j), equal places of what may be similar among the members of each part (sorted; equal ones side by side).
+
+    Members of one group are left out, and those of one block where a part holds two blocks. ``most`` pairs are held at once.
+    """
+    n = len(part)
+    ends = np.searchsorted(part, part, "right")
+    at, of = np.unique(part, return_index=True, return_inverse=True)[1:]
+    two = (np.minimum.reduceat(block, at) != np.maximum.reduceat(block, at))[of] if n else np.zeros(0, bool)
+    ahead = ends - np.arange(n) - 1
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(ahead)])
+    a = 0
+    while a < n:
+        b = min(max(int(np.searchsorted(total, total[a] + most, "right")) - 1, a + 1), n)
+        i = np.repeat(np.arange(a, b), ahead[a:b])
+        j = ragged(np.arange(a, b) + 1, ahead[a:b])
+        go = (group[i] != group[j]) & (100 * np.minimum(many[i], many[j]) >= percent * np.maximum(many[i], many[j])) & (~two[i] | (block[i] != block[j]))
+        i, j = i[go], j[go]
+        same = equal_places(sketch[i], sketch[j])
+        good = same >= least_equal(percent)
+        yield i[good], j[good], same[good]
+        a = b
+
+
+def least_equal(percent: int) -> float:
+    """Places that two sketches of this similarity have in common, less 5.5 standard deviations."""
+    m, p = BANDS * ROWS, percent / 100 + (1 - percent / 100) / 4
+    return m * p - 5.5 * (m * p * (1 - p)) ** 0.5
+
+
+def crossing(wide: DataFrame, kinds: list, groups: DataFrame, sketched: DataFrame, percent: int, n: int) -> DataFrame:
+    """a, b, same (equal places): pairs of two groups that share one of the wide bands and look alike by sketch.
+
+    ``wide`` holds blocks of band, document, size; ``sketched`` doc, sketch.
     """
 
     def rows(batches):
@@ -188,39 +236,44 @@ def settle(wide: DataFrame, kinds: list, links: DataFrame, groups: DataFrame, as
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in unblock([body], kinds)], ["band", "doc", "many"])
 
     members = wide.mapInArrow(rows, "band long, doc long, many long")
-    both = links.filter("a <> b").select(F.explode(F.array("a", "b")).alias("doc"))
-    degrees = both.groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
-    slots, used = 1, []
-    while True:
-        of = groups.select(F.col("node").alias("doc"), "component")
-        own = members.join(of, "doc", "left").select("band", "doc", "many", F.coalesce("component", "doc").alias("group"))
-        mixed = own.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("band")
-        open_ = materialise(own.join(mixed, "band", "left_semi"), "near-open")
-        if open_.isEmpty():
-            discard(open_)
-            break
-        ranked = open_.join(degrees, "doc", "left").select("band", "doc", "many", "group", F.pmod(F.xxhash64("doc", F.lit(slots)), F.lit(slots)).alias("slot"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        best = ranked.groupBy("band", "slot").agg(F.max(F.struct("degree", F.xxhash64("doc").alias("h"), "doc", "many", "group")).alias("top"))
-        pivots = materialise(best.select("band", F.col("top.doc").alias("pivot"), F.col("top.many").alias("size"), F.col("top.group").alias("other")), "near-pivots")
-        near = 100 * F.least("many", "size") >= percent * F.greatest("many", "size")
-        met = open_.join(pivots, "band").filter((F.col("group") != F.col("other")) & near)
-        new = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        for before in (asked, *used):
-            new = new.join(before, ["a", "b"], "left_anti")
-        new = materialise(new, "near-asked")
-        found = materialise(confirm(new), "near-links")
-        rest = open_.join(pivots.select("band", F.col("pivot").alias("doc")), ["band", "doc"], "left_anti").select("band", "doc", "many")
-        rest = materialise(rest, "near-rest")
-        if not found.isEmpty():
-            merged = components(found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-            discard(groups)
-            groups = merged
-        for table in (open_, pivots, found, *([members] if slots > 1 else [])):
-            discard(table)
-        members, slots, used = rest, slots * 4, [*used, new]
-    for table in (*used, *([members] if slots > 1 else [])):
-        discard(table)
-    return groups
+    of = groups.select(F.col("node").alias("doc"), "component")
+    own = materialise(members.join(of, "doc", "left").select("band", "doc", "many", F.coalesce("component", "doc").alias("group")), "near-wide")
+    bands = own.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high")
+    cut = bands.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("cuts"))
+    dealt = own.join(cut, "band").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    part = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = dealt.select(part.alias("part"), "block", "doc", "many", "group").join(sketched, "doc")
+    names = ["part", "block", "doc", "many", "group"]
+
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in chain_of(batches, (None,)):
+            if batch is not None:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < 50_000:
+                    continue
+            if not held:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            part = table.column("part").to_numpy()
+            # the last part may go on in the next batch
+            stop = len(part) if batch is None else int(np.searchsorted(part, part[-1], "left"))
+            held = [b for b in table.slice(stop).to_batches() if b.num_rows]
+            table = table.slice(0, stop)
+            if not stop:
+                continue
+            part, block, doc, many, group = (table.column(c).to_numpy() for c in names)
+            data, _ = raw(table.column("sketch").combine_chunks())
+            sketch = np.frombuffer(data.tobytes(), U64).reshape(-1, 8)
+            for i, j, same in alike(part, block, doc, many, group, sketch, percent):
+                a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], ["a", "b", "same"])
+
+    found = dealt.repartition(n, "part").sortWithinPartitions("part").mapInArrow(compare, "a long, b long, same long")
+    found = materialise(found.groupBy("a", "b").agg(F.max("same").alias("same")), "near-crossing")
+    discard(own)
+    return found
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -287,7 +340,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
                 spans = full[reps]
                 lengths = many[spans]
                 flat = elements[np.repeat(at[spans] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
-                keys = band_keys(super_minhash(flat, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])))
+                signature = super_minhash(flat, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)]))
+                keys = band_keys(signature)
+                some = pa.array([x.tobytes() for x in sketches(signature)], pa.binary())
+                m = len(reps)
+                yield pa.RecordBatch.from_arrays([pa.array([4] * m, pa.int32()), pa.array(doc[reps]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), some], ["kind", "a", "b", "bucket", "body"])
                 held[0].append(keys.ravel())
                 held[1].append(np.repeat(doc[reps], BANDS))
                 held[2].append(np.repeat(lengths, BANDS))
@@ -335,22 +392,46 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         both = asked.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
         return both.mapInArrow(lambda batches: confirmed(batches, size, percent), "a long, b long")
 
-    # two partners of each document first; of the other pairs only those that aren't joined by then
+    def linked(unsure, by, before):
+        """Links with what is confirmed of the pairs, and their groups: two partners of each document first (least and most of
+        ``by``), of the others only those that aren't in one group by then."""
+        drawn = F.struct(by.alias("h"), F.col("a").alias("a"))
+        first = unsure.groupBy("b").agg(F.min(drawn).alias("one"), F.max(drawn).alias("two")).select(F.explode(F.array_distinct(F.array("one.a", "two.a"))).alias("a"), "b")
+        first = materialise(first, "near-first")
+        early = materialise(confirm(first).unionByName(before), "near-links")
+        known = components(early)
+        of_a = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        of_b = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        apart = unsure.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        more = materialise(confirm(apart.join(first, ["a", "b"], "left_anti")), "near-links")
+        if more.isEmpty():
+            late, groups = early, known
+        else:
+            late = materialise(more.unionByName(early), "near-links")
+            groups = components(more.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            discard(early)
+            discard(known)
+        for used in (first, more):
+            discard(used)
+        return late, groups
+
     unsure = pairs.filter("not sure").select("a", "b")
-    drawn = F.struct(F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"))
-    first = unsure.groupBy("b").agg(F.min(drawn).alias("one"), F.max(drawn).alias("two")).select(F.explode(F.array_distinct(F.array("one.a", "two.a"))).alias("a"), "b")
-    early = materialise(confirm(first).unionByName(pairs.filter("sure").select("a", "b")), "near-links")
-    known = components(early)
-    of_a = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    of_b = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    apart = unsure.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    late = materialise(confirm(apart.join(first, ["a", "b"], "left_anti")).unionByName(early), "near-links")
-    groups = settle(wide, kinds, late, components(late), unsure, confirm, percent)
+    links, groups = linked(unsure, F.xxhash64("a", "b"), pairs.filter("sure").select("a", "b"))
+    sketched = signed.filter("kind = 4").select(F.col("a").alias("doc"), F.col("body").alias("sketch"))
+    crossed = crossing(wide, kinds, groups, sketched, percent, n)
+    asked = materialise(crossed.join(unsure, ["a", "b"], "left_anti"), "near-asked")
+    discard(crossed)
+    if not asked.isEmpty():
+        was = groups
+        more, groups = linked(asked, F.col("same"), was.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        discard(more)
+        discard(was)
+    discard(asked)
     out = signed.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     out = out.join(groups, out.doc_id == groups.node, "left").drop("node")
     component = F.coalesce("component", "doc_id")
     done = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     done = materialise(done, "near-groups")  # so that what is larger can go
-    for used in (signed, met, pairs, early, known, late, groups):
+    for used in (signed, met, pairs, links, groups):
         discard(used)
     return done

@@ -166,3 +166,56 @@ def test_recall_on_the_corpus(spark):
     want = brute([r[0] for r in rows], [r[1] for r in rows], 4, 80)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.read.parquet(path), size=4).collect()}
     assert got == want
+
+
+def family(n, pairs, seed=4):
+    """Texts of 100 shingles around one template, 88 of 112 shingles in common; of ``pairs`` of them two more are shared (90 of 110)."""
+    rng = random.Random(seed)
+    body = [f"t{k}" for k in range(103)]
+    texts = []
+    for k in range(n + pairs):
+        w, own = list(body), lambda j, k=k: f"u{k}x{j}"
+        w[0], w[1], w[40], w[60], w[101], w[102] = (own(j) for j in range(6))
+        if k >= n:  # partner of a document before
+            w[0], w[1] = f"u{k - n}x0", f"u{k - n}x1"
+        texts.append(" ".join(w))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    return list(zip(ids, texts)), {ids[k + n]: min(ids[k], ids[k + n]) for k in range(pairs)} | {ids[k]: min(ids[k], ids[k + n]) for k in range(pairs)}
+
+
+def test_links_inside_a_boilerplate_family(spark):
+    rows, partner = family(500, 60)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size=4, percent=80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: partner.get(i, i) for i, _ in rows}
+
+
+def test_all_pairs_of_parts_are_compared():
+    rng = np.random.default_rng(6)
+    part = np.sort(rng.integers(0, 30, 600))
+    block, group = rng.integers(0, 2, 600), rng.integers(0, 40, 600)
+    block[part % 2 == 0] = 0
+    many, doc = rng.integers(50, 80, 600), np.arange(600)
+    sketch = np.zeros((600, 8), np.uint64)
+    got = {(min(a, b), max(a, b)) for i, j, _ in neardup.alike(part, block, doc, many, group, sketch, 80, most=100) for a, b in zip(i.tolist(), j.tolist())}
+    want = set()
+    for i in range(600):
+        for j in range(i + 1, 600):
+            if part[i] == part[j] and group[i] != group[j] and 100 * min(many[i], many[j]) >= 80 * max(many[i], many[j]) and (part[i] % 2 == 0 or block[i] != block[j]):
+                want.add((i, j))
+    assert got == want
+
+
+def test_sketches_count_equal_places():
+    rng = np.random.default_rng(7)
+    a, b = (rng.integers(0, 2**63, (40, 240), dtype=np.uint64) for _ in range(2))
+    b[::2, :200] = a[::2, :200]
+    want = ((a & np.uint64(3)) == (b & np.uint64(3))).sum(1)
+    assert (neardup.equal_places(neardup.sketches(a), neardup.sketches(b)) == want).all()
+
+
+def test_wide_bands_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    rows, partner = family(150, 20, seed=9)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=4, percent=80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: partner.get(i, i) for i, _ in rows}
