@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -41,6 +43,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def trim() -> None:
+    """Give freed memory back: Python workers stay for later stages, and would keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -147,6 +156,11 @@ def unblock(bodies: Iterable[bytes], kinds: list) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, np.dtype(kind)) for p, kind in zip(parts, kinds, strict=True)]
 
 
+def volume(bodies: Iterable[bytes]) -> int:
+    """Bytes of all bodies, decompressed."""
+    return sum(int.from_bytes(packed[:8], "little") for packed in bodies)
+
+
 def block_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "body"])
 
@@ -161,5 +175,6 @@ def by_bucket(df: DataFrame, n: int, work: Callable[[list[bytes]], Iterator[pa.R
                 held.setdefault(key, []).append(body)
         for key in sorted(held):
             yield from work(held.pop(key))
+            trim()
 
     return df.repartition(n, "bucket").mapInArrow(run, schema)

@@ -13,7 +13,8 @@ repeat shows up among suffixes that start with one token, and about one byte in
    suffixes on either side of one share a token: the comparison across a boundary can find nothing.
    Equal ones in a block collapse into that of the smallest document before the shuffle.
 4. Each bucket sorts its suffixes, and its reversed left contexts, by multikey quicksort with eight-byte
-   characters; common prefix lengths of neighbours then give the classes of equal windows, and each
+   characters, a run of its leading tokens of about PILE bytes after the other (the rest stays compressed, so
+   the memory of a task doesn't follow the volume of its bucket); common prefix lengths of neighbours then give the classes of equal windows, and each
    class its smallest document.
 
 Tokens that many sampled documents hold are hot: they skip step 2 (they are known to be shared) and their
@@ -34,10 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, block_batch, blocks, by_bucket, mix64, ragged, shuffle_partitions, slices, span_hashes, unblock, words_at
+from .common import U64, block_batch, blocks, by_bucket, mix64, ragged, shuffle_partitions, slices, span_hashes, trim, unblock, volume, words_at
 from .tokens import extended
 
 TOKEN = 16
+SMALL = 4096  # rows of a run that quicksort doesn't cut further
+PILE = 16 << 20  # bytes of suffixes that are sorted at once
+SHOWN = 24 << 20  # bytes of suffixes that a task holds before it deals them out
 HOT = 8  # of the sampled documents that hold a hot token, at least
 
 
@@ -79,22 +83,44 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, width: int):
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Order of rows by their words: rows that tie on one word are ordered among themselves by the next."""
-    order = np.argsort(words[:, 0], kind="stable")
-    tied = np.zeros(len(order), bool)  # with the row before
-    tied[1:] = words[order[1:], 0] == words[order[:-1], 0]
-    for j in range(1, words.shape[1]):
-        part = tied.copy()
-        part[:-1] |= tied[1:]
-        at = np.flatnonzero(part)
+    """Order of rows by their words, by multikey quicksort.
+
+    A run of rows that agree on the words before is cut in three at a pivot of its next word; those that equal the pivot
+    go on with the word after it. Runs of up to SMALL rows are finished together (``finished``).
+    """
+    order, depth = np.arange(len(words)), words.shape[1]
+    small, todo = np.zeros(len(words), bool), [(0, len(words), 0)]  # where the small runs begin; runs with the word they are at
+    while todo:
+        a, b, j = todo.pop()
+        if a == b:
+            continue
+        if j == depth or b - a <= SMALL:
+            small[a] = True
+            continue
+        rows = order[a:b]
+        own = words[rows, j]
+        pivot = np.sort(own[:: (b - a) // 9])[4]  # of nine
+        less, more = own < pivot, own > pivot
+        low, high = a + int(less.sum()), b - int(more.sum())
+        order[a:b] = np.concatenate([rows[less], rows[~(less | more)], rows[more]])
+        todo += [(a, low, j), (low, high, j + 1), (high, b, j)]
+    return finished(words, order, np.cumsum(small))
+
+
+def finished(words: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """``order`` with the rows of each group put in the order of their words, word by word: only what still ties goes on."""
+    at, group = np.arange(len(order)), group.copy()
+    for j in range(words.shape[1] if len(order) else 0):
+        own = words[order[at], j]
+        by = np.lexsort((own, group))
+        order[at], own, group = order[at[by]], own[by], group[by]
+        new = np.ones(len(at), bool)
+        new[1:] = (group[1:] != group[:-1]) | (own[1:] != own[:-1])
+        alone = new & np.append(new[1:], True)
+        group = np.cumsum(new)[~alone]
+        at = at[~alone]
         if not len(at):
             break
-        group = np.cumsum(~tied[at])
-        own = words[order[at], j]
-        order[at] = order[at][np.lexsort((own, group))]
-        own = words[order[at], j]
-        tied[at[1:]] &= own[1:] == own[:-1]
-        tied[at[0]] = False
     return order
 
 
@@ -153,7 +179,7 @@ def contexts(data: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.nd
     return np.where(inside, data[np.clip(at, 0, max(len(data) - 1, 0))], 0).astype(np.uint8)
 
 
-def sample_tokens(rows: DataFrame, width: int, documents: int, most: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def sample_tokens(rows: DataFrame, width: int, documents: int, most: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Leading words of suffixes of about ``documents`` documents, and hot tokens; ``most`` smallest hashes of each."""
     total = rows.count()
     share = min(1.0, documents / max(total, 1))
@@ -280,9 +306,23 @@ def removed_spans(df: DataFrame, key: str, text: str, width: int, sample: int) -
 
     def show(batches):
         splitters, hot = guide.value
+        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        sure: list[list[np.ndarray]] = [[], [], []]
+
+        def ready():
+            made = []
+            if out[0]:
+                bucket, *columns, shown = (np.concatenate(x) for x in out)
+                made += blocks(bucket, [*columns, shown.view(f"V{reach + width}").ravel()])
+            if sure[0] and sum(map(len, sure[0])):
+                made += ((n + k, b) for k, b in message_blocks(*(np.concatenate(x) for x in sure), n))
+            for x in (*out, *sure):
+                x.clear()
+            if made:
+                yield block_batch(made)
+            trim()
+
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            sure: list[list[np.ndarray]] = [[], [], []]
             batch = batch.filter(batch.column("wanted").is_valid())  # the first documents of their contents
             for part, data, offsets in slices(opened(batch, text), "text"):
                 owner, place, first, last, token = suffixes(data, offsets, width)
@@ -334,20 +374,18 @@ def removed_spans(df: DataFrame, key: str, text: str, width: int, sample: int) -
                 own = [bucket.astype(np.int32), ids[keep], rids[keep], seen[keep] - offsets[owner[keep]], (seen - last)[keep].astype(np.uint8), (seen - first)[keep].astype(np.uint8), shown]
                 for x, y in zip(out, own, strict=True):
                     x.append(y)
-            ready = []
-            if out[0]:
-                bucket, *columns, shown = (np.concatenate(x) for x in out)
-                ready += blocks(bucket, [*columns, shown.view(f"V{reach + width}").ravel()])
-            if sure[0] and sum(map(len, sure[0])):
-                ready += ((n + k, b) for k, b in message_blocks(*(np.concatenate(x) for x in sure), n))
-            if ready:
-                yield block_batch(ready)
+                if sum(len(x) for x in out[0]) * (reach + width) > SHOWN:
+                    yield from ready()
+        yield from ready()
 
     def compare(bodies):
-        doc, rid, place, low, high, shown = unblock(bodies, kinds)
-        found, lowest, highest = repeated(shown.view(np.uint8).reshape(-1, reach + width), low, high, doc, width)
-        if len(found):
-            yield block_batch(list(message_blocks(doc[found], rid[found], packed(place[found] - highest, place[found] - lowest + width), n)))
+        for pile in piles(bodies, kinds, reach):
+            doc, rid, place, low, high, shown = unblock(pile, kinds)
+            found, lowest, highest = repeated(shown.view(np.uint8).reshape(-1, reach + width), low, high, doc, width)
+            if len(found):
+                yield block_batch(list(message_blocks(doc[found], rid[found], packed(place[found] - highest, place[found] - lowest + width), n)))
+            del pile, doc, rid, place, low, high, shown
+            trim()
 
     # a left join like the last one below: an inner one would filter its rows first and need an exchange of its own
     shown = rows.join(marks, ["doc_id", "rid"], "left").select("doc_id", "rid", "row", "wanted").mapInArrow(show, "bucket int, body binary")
@@ -370,6 +408,27 @@ def removed_spans(df: DataFrame, key: str, text: str, width: int, sample: int) -
     return out.select("doc_id", "row", "__own", F.coalesce("found", F.lit(b"")).alias("found"))
 
 
+def piles(bodies: list[bytes], kinds: list, reach: int):
+    """The bodies of a bucket, or where they hold more than PILE bytes, runs of its rows by their leading tokens, of about PILE bytes each.
+
+    Only one body is open at a time; the others stay compressed. Rows with one leading token stay together.
+    """
+    count = -(-volume(bodies) // PILE)
+    if count < 2:
+        yield bodies
+        return
+    leading = lambda columns: np.ascontiguousarray(columns[-1].view(np.uint8).reshape(len(columns[-1]), -1)[:, reach : reach + TOKEN]).view(f"S{TOKEN}").ravel()
+    some = np.sort(np.concatenate([leading(unblock([body], kinds))[:: max(1, len(bodies) // 16)] for body in bodies]))
+    cuts = np.unique(some[np.linspace(0, len(some) - 1, count + 1).astype(int)[1:-1]])
+    held: list[list[bytes]] = [[] for _ in range(len(cuts) + 1)]
+    while bodies:
+        columns = unblock([bodies.pop()], kinds)
+        for k, body in blocks(np.searchsorted(cuts, leading(columns), "right"), columns):
+            held[k].append(body)
+    while held:
+        yield held.pop(0)
+
+
 def packed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (start.astype(U64) << U64(32)) | end.astype(U64)
 

@@ -54,6 +54,10 @@ def corpus(seed, n):
 
 @pytest.mark.parametrize("seed,sample,limit", [(1, 3000, 2 << 20), (2, 5, 2 << 20), (3, 3000, 400)])
 def test_against_brute_force(spark, monkeypatch, seed, sample, limit):
+    if seed == 2:  # many small piles, each cut by quicksort
+        monkeypatch.setattr(S, "PILE", 3000)
+        monkeypatch.setattr(S, "SMALL", 4)
+        monkeypatch.setattr(S, "SHOWN", 5000)
     texts = corpus(seed, 150)
     rng = random.Random(seed)
     ids = rng.sample(range(1000), len(texts))
@@ -104,3 +108,30 @@ def test_multikey_order():
     for k in range(1, 500):
         a, b = strings[order[k - 1]], strings[order[k]]
         assert common[k] == next((i for i in range(19) if a[i] != b[i]), 19)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 40, 3000])
+def test_multikey_quicksort(monkeypatch, n):
+    monkeypatch.setattr(S, "SMALL", 20)
+    rng = np.random.default_rng(n)
+    words = rng.integers(0, 4, (n, 5)).astype(np.uint64)
+    words[::3] = words[: len(words[::3])] if n else words
+    got = words[S.multikey_order(words)]
+    assert (got == words[np.lexsort(words.T[::-1])]).all()
+
+
+def test_piles_keep_leading_tokens_together(monkeypatch):
+    monkeypatch.setattr(S, "PILE", 4000)
+    rng = np.random.default_rng(3)
+    reach, width = 34, 50
+    rows = rng.integers(0, 3, (2000, reach + width)).astype(np.uint8)
+    rows[:, reach + 3 : reach + 16] = 7
+    kinds, doc = [np.int64, np.dtype(f"V{reach + width}")], np.arange(2000)
+    bodies = [b for a in range(0, 2000, 300) for _, b in S.blocks(np.zeros(len(doc[a : a + 300]), np.int32), [doc[a : a + 300], np.ascontiguousarray(rows[a : a + 300]).view(f"V{reach + width}").ravel()])]
+    seen, tokens = [], []
+    for pile in S.piles(bodies, kinds, reach):
+        own, shown = S.unblock(pile, kinds)
+        seen += own.tolist()
+        tokens.append({rows[k, reach : reach + 16].tobytes() for k in own.tolist()})
+    assert sorted(seen) == doc.tolist() and len(tokens) > 10
+    assert sum(map(len, tokens)) == len(set().union(*tokens))
