@@ -29,7 +29,10 @@ def with_text(df: DataFrame, text, like: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: null, without letters, or not told from chance."""
+    """Documents without a recognisable language go: null, empty, without letters, or not told from chance.
+
+    Rows that repeat stay as they are; columns may be named like the classifier's. An empty table gives an empty one.
+    """
     model = train(docs.filter(~held_out()))
     told = identify(docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns]), model, text="in_text")
     kept = told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
@@ -37,28 +40,41 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    gone = near_duplicates(docs, size=SHINGLE, percent=PERCENT).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the document with the smallest id stays, rows that repeat id and text once.
+
+    Rows without an id, and texts that are null or without words, belong to no group and stay. Rows with one id and several texts
+    are one document and stay or go together.
+    """
+    found = near_duplicates(docs, size=SHINGLE, percent=PERCENT)
+    by_id = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    gone, again = by_id.filter(~F.col("kept")).select("doc_id"), by_id.filter(F.col("kept") & (F.col("rows") > 1)).select("doc_id")
+    if again.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(gone.unionByName(again), "doc_id", "left_anti")
+    return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand in a document with a smaller id are cut out; a document that nothing is left of goes.
 
-    What is left of a character that is cut in two is dropped.
+    What is left of a character that is cut in two is dropped. Rows without an id keep their text and take none away; rows
+    that repeat an id count as one document; null texts, and those of white space only, go.
     """
     found = remove_repeats(docs.select("*", F.col("doc_id").alias("__id")), key="__id", width=PASSAGE, kept=True)
-    return with_text(found, F.col("kept_text"), docs).filter(F.col("text").isNotNull() & (F.trim("text") != ""))
+    return with_text(found, F.col("kept_text"), docs).filter(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets. All rows stay; null texts stay null."""
     found = find_personal_data(docs)
     return with_text(found, F.col("clean_text"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens, sources in proportion."""
+    """Pieces of all documents in sequences of 2048 tokens, sources in proportion.
+
+    Null and empty texts are one token, the end id; null sources are a queue of their own; rows that repeat are packed each.
+    """
     return pack(docs, ids=False)
 
 
