@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_text, block_batch, blocks, by_bucket, discard, materialise, mix64, ragged, raw, shuffle_partitions, slices, span_hashes, unblock, words_at
+from .common import U64, as_text, block_batch, blocks, by_bucket, discard, materialise, mix64, ragged, raw, shuffle_partitions, slices, span_hashes, trim, unblock, words_at
 from .components import components
 
 BANDS, ROWS, REPS = 48, 5, 8
@@ -179,6 +179,7 @@ def confirmed(batches, size: int, percent: int):
             common = int((both[1:] == both[:-1]).sum())
             keep.append(100 * common >= percent * (len(a) + len(b) - common) and common > 0)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
 
 def sketches(signature: np.ndarray) -> np.ndarray:
@@ -316,6 +317,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
             for x in held:
                 x.clear()
             exact.clear()
+            trim()
 
         volume = 0
         for batch in batches:
