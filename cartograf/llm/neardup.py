@@ -16,12 +16,11 @@ size reaches a reducer as a few rows from each task. Links are confirmed on the
 each document first, then those of the other pairs whose documents aren't in one group yet.
 
 A chain holds all pairs of up to CHAINED members. Larger bands whose members aren't in one group by then are
-open: every two of their members from different groups are compared by sketch, two bits of each place of the
-signature (``alike``). A sketch tells a pair of similarity 0.8 from one that is out of question but for a
-chance of about 2e-8 (``least_equal`` is 5.5 standard deviations below the mean), so that few pairs leave the
-block in which they are compared; those are confirmed on the full sets. A band of more than BLOCK members is
-dealt out as pairs of blocks, so that no task holds more than two blocks of it. Thus the centre of a star meets
-its copies, and no pair that shares a band is left out.
+open: there, the shared shingles of every two members of different groups are counted, block by block
+(``overlaps``), and only pairs that are similar enough leave the block. A band of more than BLOCK members is
+dealt out as pairs of blocks, so that no task holds more than two blocks of it at once. Thus the centre of a
+star meets its copies, the links inside a family of texts around one template are found, and no pair that
+shares a band is left out; what isn't similar makes no rows.
 
 Null or wordless texts have no shingles and are linked with nothing. Rows that repeat a document id count
 as one document. Rows with a null id get their size, no component, and stay. Sets are compared as 64-bit hashes of their shingles.
@@ -41,7 +40,8 @@ from .components import components
 
 BANDS, ROWS, REPS = 48, 5, 8
 CHAINED = 4  # so many members are paired all with all by a chain
-BLOCK = 4096  # members of a band that one task compares with as many others
+BLOCK = 1024  # members of a band that are compared with as many others at once
+FEW = 32  # sets that hold an element, up to which it is counted by pairs
 FIT = 100_000  # shingles whose permutations are held at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -182,53 +182,52 @@ def confirmed(batches, size: int, percent: int):
         trim()
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """Two bits of each place, as eight words a document."""
-    bits = np.zeros((len(signature), 256), U64)
-    bits[:, : signature.shape[1]] = signature & U64(3)
-    return np.bitwise_or.reduce(bits.reshape(-1, 8, 32) << (U64(2) * np.arange(32, dtype=U64)), axis=2)
-
-
-def equal_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of how many places two sketches (rows of words) hold the same bits."""
-    x = a ^ b
-    return BANDS * ROWS - np.bitwise_count((x | (x >> U64(1))) & U64(0x5555555555555555)).sum(1, dtype=np.int64)
-
-
-def alike(part: np.ndarray, block: np.ndarray, doc: np.ndarray, many: np.ndarray, group: np.ndarray, sketch: np.ndarray, percent: int, most: int = 200_000):
-    """Rows (i, j), equal places of what may be similar among the members of each part (sorted; equal ones side by side).
-
-    Members of one group are left out, and those of one block where a part holds two blocks. ``most`` pairs are held at once.
-    """
-    n = len(part)
-    ends = np.searchsorted(part, part, "right")
-    at, of = np.unique(part, return_index=True, return_inverse=True)[1:]
-    two = (np.minimum.reduceat(block, at) != np.maximum.reduceat(block, at))[of] if n else np.zeros(0, bool)
-    ahead = ends - np.arange(n) - 1
-    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(ahead)])
-    a = 0
-    while a < n:
-        b = min(max(int(np.searchsorted(total, total[a] + most, "right")) - 1, a + 1), n)
-        i = np.repeat(np.arange(a, b), ahead[a:b])
-        j = ragged(np.arange(a, b) + 1, ahead[a:b])
-        go = (group[i] != group[j]) & (100 * np.minimum(many[i], many[j]) >= percent * np.maximum(many[i], many[j])) & (~two[i] | (block[i] != block[j]))
-        i, j = i[go], j[go]
-        same = equal_places(sketch[i], sketch[j])
-        good = same >= least_equal(percent)
-        yield i[good], j[good], same[good]
-        a = b
-
-
-def least_equal(percent: int) -> float:
-    """Places that two sketches of this similarity have in common, less 5.5 standard deviations."""
-    m, p = BANDS * ROWS, percent / 100 + (1 - percent / 100) / 4
-    return m * p - 5.5 * (m * p * (1 - p)) ** 0.5
-
-
-def crossing(wide: DataFrame, kinds: list, groups: DataFrame, sketched: DataFrame, percent: int, n: int) -> DataFrame:
-    """a, b, same (equal places): pairs of two groups that share one of the wide bands and look alike by sketch.
-
-    ``wide`` holds blocks of band, document, size; ``sketched`` doc, sketch.
+def overlaps(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of elements that every two of some sets share: by pairs where few sets hold an element, else by matrix products."""
+    m = len(offsets) - 1
+    owner = np.repeat(np.arange(m), np.diff(offsets))
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    at = np.flatnonzero(np.concatenate([np.ones(1, bool), elements[1:] != elements[:-1]])) if len(elements) else np.zeros(0, np.int64)
+    held = np.diff(np.append(at, len(elements)))
+    shared = np.zeros((m, m), np.float32)
+    few = np.flatnonzero((held > 1) & (held <= FEW))
+    for a in range(0, len(few), 20_000):
+        own = few[a : a + 20_000]
+        rows = ragged(at[own], held[own])
+        ahead = np.repeat(at[own] + held[own], held[own]) - rows - 1
+        i, j = owner[np.repeat(rows, ahead)], owner[ragged(rows + 1, ahead)]
+        shared += np.bincount(i * m + j, minlength=m * m).reshape(m, m).astype(np.float32) if len(i) * 4 > m * m else _added(i, j, m)
+    many = np.flatnonzero(held > FEW)
+    for a in range(0, len(many), 2048):
+        own = many[a : a + 2048]
+        has = np.zeros((m, len(own)), np.float32)
+        has[owner[ragged(at[own], held[own])], np.repeat(np.arange(len(own)), held[own])] = 1
+        shared += has @ has.T
+    return np.maximum(shared, shared.T)
+
+
+def _added(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    out = np.zeros(m * m, np.float32)
+    at, n = np.unique(i * m + j, return_counts=True)
+    out[at] = n
+    return out.reshape(m, m)
+
+
+def alike(block: np.ndarray, many: np.ndarray, group: np.ndarray, elements: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one part that are similar enough, of different groups and, where the part holds two blocks, of different blocks."""
+    shared = overlaps(elements, offsets)
+    good = np.triu(100 * shared >= percent * (many[:, None] + many[None, :] - shared), 1) & (shared > 0) & (group[:, None] != group[None, :])
+    if block.min() != block.max():
+        good &= block[:, None] != block[None, :]
+    return np.nonzero(good)
+
+
+def crossing(wide: DataFrame, kinds: list, groups: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
+    """a, b: pairs of two groups that share one of the wide bands and are similar by 32-bit hashes of their shingles.
+
+    ``wide`` holds blocks of band, document, size; ``texts`` doc_id, text. Equal hashes of different shingles can only
+    add pairs, which don't outlast confirmation.
     """
 
     def rows(batches):
@@ -244,36 +243,48 @@ def crossing(wide: DataFrame, kinds: list, groups: DataFrame, sketched: DataFram
     dealt = own.join(cut, "band").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     part = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(part.alias("part"), "block", "doc", "many", "group").join(sketched, "doc")
-    names = ["part", "block", "doc", "many", "group"]
+    dealt = materialise(dealt.select(part.alias("part"), "block", "doc", "many", "group"), "near-open")
+    discard(own)
+    names = ["block", "many", "group", "doc"]
+
+    def hashed(batches):
+        for batch in batches:
+            for part, data, offsets in slices(batch, "text"):
+                elements, at = shingle_sets(data, offsets, size)
+                short = elements.astype(np.uint32)  # the low half
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([short[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc", "set"])
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
         for batch in chain_of(batches, (None,)):
-            if batch is not None:
+            if batch is not None and batch.num_rows:
                 held.append(batch)
-                if sum(b.num_rows for b in held) < 50_000:
-                    continue
-            if not held:
+            if not held or batch is not None and sum(b.num_rows for b in held) < 4 * BLOCK:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             part = table.column("part").to_numpy()
-            # the last part may go on in the next batch
-            stop = len(part) if batch is None else int(np.searchsorted(part, part[-1], "left"))
+            stop = len(part) if batch is None else int(np.searchsorted(part, part[-1], "left"))  # the last part may go on
             held = [b for b in table.slice(stop).to_batches() if b.num_rows]
-            table = table.slice(0, stop)
             if not stop:
                 continue
-            part, block, doc, many, group = (table.column(c).to_numpy() for c in names)
-            data, _ = raw(table.column("sketch").combine_chunks())
-            sketch = np.frombuffer(data.tobytes(), U64).reshape(-1, 8)
-            for i, j, same in alike(part, block, doc, many, group, sketch, percent):
-                a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], ["a", "b", "same"])
-
-    found = dealt.repartition(n, "part").sortWithinPartitions("part").mapInArrow(compare, "a long, b long, same long")
-    found = materialise(found.groupBy("a", "b").agg(F.max("same").alias("same")), "near-crossing")
-    discard(own)
+            table = table.slice(0, stop)
+            block, many, group, doc = (table.column(c).to_numpy() for c in names)
+            data, offsets = raw(table.column("set").combine_chunks())
+            elements, offsets = np.frombuffer(data.tobytes(), np.uint32), offsets // 4
+            pairs: list[np.ndarray] = []
+            bounds = np.flatnonzero(np.concatenate([np.ones(1, bool), part[1:stop] != part[: stop - 1], np.ones(1, bool)]))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                i, j = alike(block[a:b], many[a:b], group[a:b], elements[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], percent)
+                pairs.append(np.sort(np.stack([doc[a:b][i], doc[a:b][j]], 1), axis=1))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            trim()
+
+    open_ = texts.select(F.col("doc_id").alias("doc"), "text").join(dealt.select("doc").distinct(), "doc", "left_semi")
+    sets = open_.mapInArrow(hashed, "doc long, set binary")
+    found = dealt.join(sets, "doc").select("part", *names, "set").repartition(n, "part").sortWithinPartitions("part").mapInArrow(compare, "a long, b long")
+    found = materialise(found.distinct(), "near-crossing")
+    discard(dealt)
     return found
 
 
@@ -342,11 +353,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
                 spans = full[reps]
                 lengths = many[spans]
                 flat = elements[np.repeat(at[spans] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
-                signature = super_minhash(flat, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)]))
-                keys = band_keys(signature)
-                some = pa.array([x.tobytes() for x in sketches(signature)], pa.binary())
-                m = len(reps)
-                yield pa.RecordBatch.from_arrays([pa.array([4] * m, pa.int32()), pa.array(doc[reps]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), some], ["kind", "a", "b", "bucket", "body"])
+                keys = band_keys(super_minhash(flat, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])))
                 held[0].append(keys.ravel())
                 held[1].append(np.repeat(doc[reps], BANDS))
                 held[2].append(np.repeat(lengths, BANDS))
@@ -394,46 +401,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         both = asked.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
         return both.mapInArrow(lambda batches: confirmed(batches, size, percent), "a long, b long")
 
-    def linked(unsure, by, before):
-        """Links with what is confirmed of the pairs, and their groups: two partners of each document first (least and most of
-        ``by``), of the others only those that aren't in one group by then."""
-        drawn = F.struct(by.alias("h"), F.col("a").alias("a"))
-        first = unsure.groupBy("b").agg(F.min(drawn).alias("one"), F.max(drawn).alias("two")).select(F.explode(F.array_distinct(F.array("one.a", "two.a"))).alias("a"), "b")
-        first = materialise(first, "near-first")
-        early = materialise(confirm(first).unionByName(before), "near-links")
-        known = components(early)
-        of_a = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        of_b = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        apart = unsure.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        more = materialise(confirm(apart.join(first, ["a", "b"], "left_anti")), "near-links")
-        if more.isEmpty():
-            late, groups = early, known
-        else:
-            late = materialise(more.unionByName(early), "near-links")
-            groups = components(more.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-            discard(early)
-            discard(known)
-        for used in (first, more):
-            discard(used)
-        return late, groups
-
+    # two partners of each document first; of the other pairs only those that aren't joined by then
     unsure = pairs.filter("not sure").select("a", "b")
-    links, groups = linked(unsure, F.xxhash64("a", "b"), pairs.filter("sure").select("a", "b"))
-    sketched = signed.filter("kind = 4").select(F.col("a").alias("doc"), F.col("body").alias("sketch"))
-    crossed = crossing(wide, kinds, groups, sketched, percent, n)
-    asked = materialise(crossed.join(unsure, ["a", "b"], "left_anti"), "near-asked")
-    discard(crossed)
-    if not asked.isEmpty():
-        was = groups
-        more, groups = linked(asked, F.col("same"), was.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        discard(more)
+    drawn = F.struct(F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"))
+    first = unsure.groupBy("b").agg(F.min(drawn).alias("one"), F.max(drawn).alias("two")).select(F.explode(F.array_distinct(F.array("one.a", "two.a"))).alias("a"), "b")
+    early = materialise(confirm(first).unionByName(pairs.filter("sure").select("a", "b")), "near-links")
+    known = components(early)
+    of_a = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = unsure.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    late = materialise(confirm(apart.join(first, ["a", "b"], "left_anti")), "near-links")
+    joined = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = components(late.unionByName(joined))
+    crossed = crossing(wide, kinds, groups, texts, size, percent, n)
+    cross = materialise(confirm(crossed.join(unsure, ["a", "b"], "left_anti")), "near-links")
+    if not cross.isEmpty():
+        was, groups = groups, components(cross.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         discard(was)
-    discard(asked)
     out = signed.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     out = out.join(groups, out.doc_id == groups.node, "left").drop("node")
     component = F.coalesce("component", "doc_id")
     done = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     done = materialise(done, "near-groups")  # so that what is larger can go
-    for used in (signed, met, pairs, links, groups):
+    for used in (signed, met, pairs, early, known, late, crossed, cross, groups):
         discard(used)
     return done

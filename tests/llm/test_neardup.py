@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from cartograf.llm import neardup
-from cartograf.llm.components import components, union_find
+from cartograf.llm import components as components_module
+from cartograf.llm.components import components, least_reachable, union_find
 
 
 def sets(texts, size):
@@ -190,28 +191,21 @@ def test_links_inside_a_boilerplate_family(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: partner.get(i, i) for i, _ in rows}
 
 
-def test_all_pairs_of_parts_are_compared():
+def test_overlaps_count_shared_elements(monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 5)
     rng = np.random.default_rng(6)
-    part = np.sort(rng.integers(0, 30, 600))
-    block, group = rng.integers(0, 2, 600), rng.integers(0, 40, 600)
-    block[part % 2 == 0] = 0
-    many, doc = rng.integers(50, 80, 600), np.arange(600)
-    sketch = np.zeros((600, 8), np.uint64)
-    got = {(min(a, b), max(a, b)) for i, j, _ in neardup.alike(part, block, doc, many, group, sketch, 80, most=100) for a, b in zip(i.tolist(), j.tolist())}
-    want = set()
-    for i in range(600):
-        for j in range(i + 1, 600):
-            if part[i] == part[j] and group[i] != group[j] and 100 * min(many[i], many[j]) >= 80 * max(many[i], many[j]) and (part[i] % 2 == 0 or block[i] != block[j]):
-                want.add((i, j))
-    assert got == want
+    own = [np.unique(rng.integers(0, 60, rng.integers(0, 25))).astype(np.uint32) for _ in range(40)]
+    got = neardup.overlaps(np.concatenate(own), np.cumsum([0, *map(len, own)]))
+    for i in range(40):
+        for j in range(i):
+            assert got[i, j] == got[j, i] == len(np.intersect1d(own[i], own[j]))
 
 
-def test_sketches_count_equal_places():
-    rng = np.random.default_rng(7)
-    a, b = (rng.integers(0, 2**63, (40, 240), dtype=np.uint64) for _ in range(2))
-    b[::2, :200] = a[::2, :200]
-    want = ((a & np.uint64(3)) == (b & np.uint64(3))).sum(1)
-    assert (neardup.equal_places(neardup.sketches(a), neardup.sketches(b)) == want).all()
+def test_alike_pairs_of_two_blocks():
+    own = [np.arange(10, dtype=np.uint32)] * 4
+    block, group = np.array([0, 0, 1, 1]), np.array([1, 2, 1, 3])
+    i, j = neardup.alike(block, np.full(4, 10), group, np.concatenate(own), np.arange(0, 41, 10), 80)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 3), (1, 2), (1, 3)]
 
 
 def test_wide_bands_in_several_blocks(spark, monkeypatch):
@@ -219,3 +213,15 @@ def test_wide_bands_in_several_blocks(spark, monkeypatch):
     rows, partner = family(150, 20, seed=9)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=4, percent=80)
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: partner.get(i, i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
+    rng = random.Random(one_task)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 2000 + k) for k in range(50)]
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(4))
+    want = union_find([e for e in edges if e[0] != e[1]])
+    assert {r.node: r.component for r in got.collect()} == want
+    node, least = least_reachable(*np.array(edges).T)
+    assert {k: v for k, v in zip(node.tolist(), least.tolist()) if k in want} == want
