@@ -1,26 +1,26 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of documents. A window of ``window`` tokens is a sequence. Before a window each
-queue's credit grows by its share of the window; the queue with the largest unpaid credit gives the next
-token, and what is left over (the deficit) carries into the next window. Because documents may be cut,
-this rule orders all tokens by their virtual time (2 i + 1) / (2 weight), i being the place of the token
-in its queue, ties by queue. How much each queue has given before window w is therefore a function of w
-alone (``Mixture.counts``): every task takes up the exact deficits with which the windows of another
-partition ended, and no task walks through the windows before its own. A queue that runs dry leaves its
-share to the others. All sequences but the last are full.
+Every source is a queue of documents. In each round the queues are visited in order; a queue's deficit counter grows
+by its quantum, its share of ``TURN`` of a window, and the queue gives as many tokens as the counter holds whole ones; the
+rest, a fraction of a token, is carried into the next round. Windows of ``window`` tokens are filled from these turns one
+after the other: a turn that a window's end cuts off goes on in the next window. So every window holds the target
+proportions but for one turn of each queue, and an empty queue leaves its share to the others.
+
+Quanta are fixed-point numbers of FRACTION bits, so before round r a queue has given the whole part of r x quantum, or
+all it holds (``Mixture.served``), and the counter holds the rest. Any task thus takes up the very deficits with which the
+windows of another partition ended, without walking through the rounds before its own. In a window each queue's tokens
+stand together. All sequences but the last are full.
 
 By default the target proportions are the sources' own shares of all tokens. Null texts count as empty
-(one token, the end id), null sources form a queue of their own, rows that repeat are packed each. More
-than ``MOST_QUEUES`` sources are hashed into as many queues. An empty table gives an empty result.
+(one token, the end id), null sources form a queue of their own, rows that repeat are packed each. Every source
+is a queue; of more than ``MOST_QUEUES`` the ones without a target share that many queues, whose weight is the sum of
+theirs. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
-from bisect import bisect_right
 from collections import OrderedDict
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,123 +32,94 @@ from pyspark.sql import functions as F
 from .common import materialise, slices
 from .tokens import encode_slice, merging_encoder, ship, tokenizer_file
 
-MOST_QUEUES = 1024
+MOST_QUEUES = 1 << 16
+TURN = 16  # rounds a window
+FRACTION = 16  # bits of a quantum behind the point
 
 
 class Mixture:
-    """Tokens that each queue has given before any token position of the packed stream."""
-
-    KEEP = 4096
+    """Deficit round-robin over queues of ``totals`` tokens: who has given what before any place of the packed stream."""
 
     def __init__(self, totals: list[int], weights: list[int], window: int):
-        self.totals, self.weights, self.window = totals, weights, window
-        self.total = sum(totals)
-        ends = sorted({Fraction(t, w) for t, w in zip(totals, weights, strict=True)})
-        self.phases: list[tuple[int, int, int]] = []  # from which position on, tokens of dry queues, live weight
-        at = Fraction(0)
-        for end in ends:
-            dry = sum(t for t, w in zip(totals, weights, strict=True) if Fraction(t, w) <= at)
-            live = sum(w for t, w in zip(totals, weights, strict=True) if Fraction(t, w) > at)
-            self.phases.append((int(dry + at * live), dry, live))
-            at = end
-        self.starts = [p[0] for p in self.phases]
-        self.kept: OrderedDict[int, tuple[tuple[int, ...], tuple[int, ...]]] = OrderedDict()
-
-    def time(self, queue: int, i: int) -> tuple[int, int]:
-        return ((2 * i + 1) << 64) // (2 * self.weights[queue]), queue
-
-    def counts(self, position: int) -> list[int]:
-        """Of each queue, how many of the first ``position`` tokens by virtual time are its own."""
+        self.totals, self.window, self.total = np.array(totals, np.int64), window, sum(totals)
+        turn, share = max(1, window // TURN), max(1, sum(weights))
+        self.quantum = np.array([max(1, (w * turn << FRACTION) // share) for w in weights], np.int64)
+        #: the round after which a queue is empty
+        self.dry = np.array([-(-(t << FRACTION) // int(q)) for t, q in zip(totals, self.quantum, strict=True)], np.int64)
+        self.last = 0  # round found last; the next one is near
+        self.kept: OrderedDict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = OrderedDict()
+        self.keep = max(2, (1 << 21) // max(1, len(totals)))
+
+    def served(self, r: int) -> np.ndarray:
+        """Tokens that each queue has given in the first r rounds."""
+        return np.minimum(self.totals, (np.minimum(r, self.dry) * self.quantum) >> FRACTION)
+
+    def deficits(self, r: int) -> np.ndarray:
+        """Deficit counters before round r, in 2^-FRACTION tokens; empty queues have none."""
+        return np.where(r < self.dry, r * self.quantum - (self.served(r) << FRACTION), 0)
+
+    def round_at(self, position: int) -> int:
+        """Round in which the stream reaches a position below the total."""
+        before = lambda r: int(self.served(r).sum()) <= position
+        low, step = self.last, 1
+        while not before(low):
+            low, step = max(0, low - step), step * 2
+        high, step = low + 1, 1
+        while before(high):
+            low, high, step = high, high + step, step * 2
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if before(mid) else (low, mid)
+        self.last = low
+        return low
+
+    def given(self, position: int) -> np.ndarray:
+        """Of each queue, how many of the first ``position`` tokens are its own."""
         if position >= self.total:
-            return list(self.totals)
-        _, dry, live = self.phases[bisect_right(self.starts, position) - 1]
-        num = max(position - dry, 0)
-        given = [min(t, (2 * num * w + live) // (2 * live)) for t, w in zip(self.totals, self.weights, strict=True)]
-        late = [self.time(q, c) for q, c in enumerate(given) if c < self.totals[q]]
-        early = [(-k, -q) for q, c in enumerate(given) if c for k in [self.time(q, c - 1)[0]]]
-        heapq.heapify(late)
-        heapq.heapify(early)
-
-        def settle(q):
-            """After a change of queue q: its next and last token go on the heaps; stale entries are skipped."""
-            if given[q] < self.totals[q]:
-                heapq.heappush(late, self.time(q, given[q]))
-            if given[q]:
-                k = self.time(q, given[q] - 1)[0]
-                heapq.heappush(early, (-k, -q))
-
-        def top(heap, last):
-            while heap:
-                key, q = (abs(heap[0][0]), abs(heap[0][1]))
-                i = given[q] - last
-                if 0 <= i < self.totals[q] and self.time(q, i)[0] == key:
-                    return key, q
-                heapq.heappop(heap)
-            return None
-
-        short = position - sum(given)
-        while True:
-            soon, latest = top(late, 0), top(early, 1)
-            if short > 0:
-                given[soon[1]] += 1
-                short -= 1
-                settle(soon[1])
-            elif short < 0:
-                given[latest[1]] -= 1
-                short += 1
-                settle(latest[1])
-            elif soon and latest and latest > soon:
-                given[soon[1]] += 1
-                given[latest[1]] -= 1
-                settle(soon[1])
-                settle(latest[1])
-            else:
-                return given
-
-    def before(self, w: int) -> tuple[int, ...]:
-        return self._window(w)[0]
-
-    def offsets(self, w: int) -> tuple[int, ...]:
-        """Where each queue's tokens begin in window w: queues follow each other in order."""
-        return self._window(w)[1]
-
-    def _window(self, w: int):
-        if w in self.kept:
-            self.kept.move_to_end(w)
-            return self.kept[w]
-        begin, end = self.counts(w * self.window), self.counts((w + 1) * self.window)
-        offsets, at = [], 0
-        for a, b in zip(begin, end, strict=True):
-            offsets.append(at)
-            at += b - a
-        self.kept[w] = tuple(begin), tuple(offsets)
-        if len(self.kept) > self.KEEP:
-            self.kept.popitem(last=False)
+            return self.totals
+        r = self.round_at(position)
+        done = self.served(r)
+        turn = self.served(r + 1) - done
+        return done + np.clip(position - done.sum() - (np.cumsum(turn) - turn), 0, turn)
+
+    def at(self, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each queue has given before and after window w, and where its tokens begin in it."""
+        if w not in self.kept:
+            begin = self.kept[w - 1][1] if w - 1 in self.kept else self.given(w * self.window)
+            end = self.given((w + 1) * self.window)
+            self.kept[w] = begin, end, np.cumsum(end - begin) - (end - begin)
+            if len(self.kept) > self.keep:
+                self.kept.popitem(last=False)
+        self.kept.move_to_end(w)
         return self.kept[w]
 
-    def deficits(self, w: int) -> list[Fraction]:
-        """Credit less tokens given of each queue at the start of window w, while no queue is dry."""
-        share = sum(self.weights)
-        return [Fraction(w * self.window * x, share) - c for x, c in zip(self.weights, self.before(w), strict=True)]
-
     def find(self, queue: int, i: int) -> int:
         """Window of token i of a queue."""
-        at = Fraction(2 * i + 1, 2 * self.weights[queue])
-        rank = sum(min(t, int(at * w)) for t, w in zip(self.totals, self.weights, strict=True))
-        w = rank // self.window
-        while self.before(w)[queue] > i:
-            w -= 1
-        while self.before(w + 1)[queue] <= i:
-            w += 1
-        return w
+        r = -(-((i + 1) << FRACTION) // int(self.quantum[queue])) - 1
+        done = self.served(r)
+        turn = self.served(r + 1)[:queue] - done[:queue]
+        return (int(done.sum()) + int(turn.sum()) + i - int(done[queue])) // self.window
 
 
-def queue_name(df: DataFrame, source: str) -> F.Column:
+def queue_name(df: DataFrame, source: str, targets: dict[str, int] | None) -> F.Column:
     """Name of the queue of each row; counts the sources first, up to one more than the bound."""
-    many = df.select(F.col(source)).distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES
-    if many:
-        return F.concat(F.lit("#"), F.pmod(F.xxhash64(F.col(source)), F.lit(MOST_QUEUES)).cast("string"))
-    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+    name = F.col(source).cast("string")
+    own = F.concat(F.lit("="), name)
+    if df.select(name).distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES:
+        shared = F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(MOST_QUEUES)).cast("string"))
+        own = F.when(name.isin(*targets), own).otherwise(shared) if targets else F.when(name.isNotNull(), shared)
+    return F.coalesce(own, F.lit("null"))
+
+
+def weights_of(df: DataFrame, totals: dict[str, int], targets: dict[str, int] | None) -> dict[str, int]:
+    """Weight of each queue: what it holds, or its target (1 without one; for shared queues the number of their sources)."""
+    if targets is None:
+        return totals
+    out = {q: max(1, int(targets.get(q[1:], 1))) if q[0] == "=" else 1 for q in totals}
+    if any(q[0] == "#" for q in totals):
+        shared = df.filter(F.col("queue").startswith("#")).groupBy("queue").agg(F.count_distinct("source").alias("n"))
+        out |= {r.queue: r.n for r in shared.collect()}  # at most MOST_QUEUES rows
+    return out
 
 
 def pack(
@@ -168,7 +139,7 @@ def pack(
     """
     spark = df.sparkSession
     content = ship(spark, path or tokenizer_file("byte_bpe_50k.json"))
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), queue_name(df, source).alias("queue"))
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), queue_name(df, source, targets).alias("queue"), F.col(source).cast("string").alias("source"))
 
     def encode(batches):
         encoder, specials = merging_encoder(content.value)
@@ -176,7 +147,7 @@ def pack(
         for batch in batches:
             for own, data, offsets in slices(batch, "text"):
                 flat, at = encode_slice(encoder, specials, data, offsets)
-                kind = np.uint16 if not len(flat) or flat.max() < 65536 else np.uint32
+                kind = np.uint16 if max(end_id, int(flat.max(initial=0))) < 65536 else np.uint32
                 starts, lengths, bodies = [], [], []
                 for q, a, b in zip(own.column("queue").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     starts.append(given.get(q, 0))
@@ -189,17 +160,17 @@ def pack(
                     ["doc_id", "queue", "part", "start", "doc_tokens", "body"],
                 )
 
-    encoded = materialise(rows.mapInArrow(encode, "doc_id long, queue string, part int, start long, doc_tokens long, body binary"), "pack-ids")
+    encoded = materialise(rows.drop("source").mapInArrow(encode, "doc_id long, queue string, part int, start long, doc_tokens long, body binary"), "pack-ids")
     held = encoded.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     order = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
     bases = materialise(held.select("queue", "part", (F.sum("n").over(order) - F.col("n")).alias("base"), "n"), "pack-bases")
-    totals = {r.queue: r.n for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MOST_QUEUES + 1 rows
-    names = sorted(totals)
-    weights = [totals[q] if targets is None else max(1, int(targets.get(q[1:], 1))) for q in names]
-    place, sizes = {q: k for k, q in enumerate(names)}, [totals[q] for q in names]
+    totals = {r.queue: r.n for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row for each queue: at most MOST_QUEUES, targets and one
+    names, weights = sorted(totals), weights_of(rows, totals, targets)
+    plan = spark.sparkContext.broadcast(({q: k for k, q in enumerate(names)}, [totals[q] for q in names], [weights[q] for q in names]))  # of that many numbers
 
     def cut(batches):
-        mixture = Mixture(sizes, weights, window)
+        place, sizes, shares = plan.value
+        mixture = Mixture(sizes, shares, window)
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for doc, name, base, start, n, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "base", "start", "doc_tokens", "body")), strict=True):
@@ -207,11 +178,12 @@ def pack(
                 tokens = np.frombuffer(body, np.uint16 if len(body) == 2 * n else np.uint32).astype("<u4").tobytes()
                 w, done = mixture.find(q, at), 0
                 while done < n:
-                    first = mixture.before(w)[q]
-                    length = min(mixture.before(w + 1)[q] - (at + done), n - done)
+                    before, after, offsets = mixture.at(w)
+                    first = int(before[q])
+                    length = min(int(after[q]) - (at + done), n - done)
                     if length > 0:
                         own = tokens[4 * done : 4 * (done + length)]
-                        row = (doc, done, length, own, zlib.crc32(own), n, w, mixture.offsets(w)[q] + at + done - first)
+                        row = (doc, done, length, own, zlib.crc32(own), n, w, int(offsets[q]) + at + done - first)
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
                         done += length
