@@ -65,7 +65,7 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
             last = max(last, at)  # the local part can't reach over this sign
         at = text.find("@", max(last, at + 1))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".") if p.strip("0")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             found.append((m.start(), m.end(), 1))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")

@@ -15,7 +15,7 @@ def contract(text):
     for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
         for m in re.finditer(pattern, text):
             digits = re.sub(r"[^0-9]", "", m.group())
-            if kind == 1 and any(int(p) > 255 for p in m.group().split(".")):
+            if kind == 1 and any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or "0") > 255 for p in m.group().split(".")):
                 continue
             if kind == 2 and not (12 <= len(digits) <= 19 and pii.luhn(digits)):
                 continue
@@ -34,6 +34,12 @@ def test_rules(text):
     assert pii.rule_spans(text) == contract(text)
 
 
+def test_long_parts_of_addresses():
+    for part, found in (("0" * 5000 + "1", 1), ("0" * 9000, 1), ("9" * 5000, 0), ("0" * 5000 + "256", 0), ("0" * 5000 + "255", 1)):
+        text = "ip 1.2.3." + part + " end"
+        assert [s for s in pii.rule_spans(text) if s[2] == 1] == [s for s in contract(text) if s[2] == 1] == [(3, 9 + len(part), 1)] * found
+
+
 def test_rules_on_long_runs():
     assert pii.rule_spans("1" * 60_000 + "a" * 60_000 + "." * 60_000 + "+1" + " " * 60_000) == []
 
