@@ -223,19 +223,24 @@ def alike(block: np.ndarray, many: np.ndarray, group: np.ndarray, elements: np.n
     return np.nonzero(good)
 
 
-def crossing(wide: DataFrame, kinds: list, groups: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
-    """a, b: pairs of two groups that share one of the wide bands and are similar by 32-bit hashes of their shingles.
-
-    ``wide`` holds blocks of band, document, size; ``texts`` doc_id, text. Equal hashes of different shingles can only
-    add pairs, which don't outlast confirmation.
-    """
+def wide_members(wide: DataFrame, kinds: list) -> DataFrame:
+    """band, doc, many out of blocks."""
 
     def rows(batches):
         for batch in batches:
             for body in batch.column("body").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in unblock([body], kinds)], ["band", "doc", "many"])
 
-    members = wide.mapInArrow(rows, "band long, doc long, many long")
+    return wide.mapInArrow(rows, "band long, doc long, many long")
+
+
+def crossing(members: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
+    """a, b: pairs of two groups that share one of the wide bands and are similar by 32-bit hashes of their shingles.
+
+    ``members`` holds band, doc, many (size); ``texts`` doc_id, text. Equal hashes of different shingles can only
+    add pairs, which don't outlast confirmation.
+    """
+
     of = groups.select(F.col("node").alias("doc"), "component")
     own = materialise(members.join(of, "doc", "left").select("band", "doc", "many", F.coalesce("component", "doc").alias("group")), "near-wide")
     bands = own.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high")
@@ -393,7 +398,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     wide = dealt.filter(F.col("bucket") == 2 * n).select("body").unionByName(met.filter("body is not null").select("body"))
     local = signed.filter("kind in (1, 3)").select("a", "b", (F.col("kind") == 3).alias("sure"))
     pairs = materialise(local.unionByName(bands).unionByName(equal).groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-pairs")
-    texts = rows.filter("doc_id is not null and text is not null")
+    unsure, members = pairs.filter("not sure").select("a", "b"), wide_members(wide, kinds)
+    # texts are dealt out once; what follows reads only those that some other document may be like
+    wanted = unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("doc").alias("doc_id"))).distinct()
+    texts = materialise(rows.filter("doc_id is not null and text is not null").join(wanted, "doc_id", "left_semi"), "near-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -402,7 +410,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         return both.mapInArrow(lambda batches: confirmed(batches, size, percent), "a long, b long")
 
     # two partners of each document first; of the other pairs only those that aren't joined by then
-    unsure = pairs.filter("not sure").select("a", "b")
     drawn = F.struct(F.xxhash64("a", "b").alias("h"), F.col("a").alias("a"))
     first = unsure.groupBy("b").agg(F.min(drawn).alias("one"), F.max(drawn).alias("two")).select(F.explode(F.array_distinct(F.array("one.a", "two.a"))).alias("a"), "b")
     early = materialise(confirm(first).unionByName(pairs.filter("sure").select("a", "b")), "near-links")
@@ -413,7 +420,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     late = materialise(confirm(apart.join(first, ["a", "b"], "left_anti")), "near-links")
     joined = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     groups = components(late.unionByName(joined))
-    crossed = crossing(wide, kinds, groups, texts, size, percent, n)
+    crossed = crossing(members, groups, texts, size, percent, n)
     cross = materialise(confirm(crossed.join(unsure, ["a", "b"], "left_anti")), "near-links")
     if not cross.isEmpty():
         was, groups = groups, components(cross.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
@@ -423,6 +430,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     component = F.coalesce("component", "doc_id")
     done = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     done = materialise(done, "near-groups")  # so that what is larger can go
-    for used in (signed, met, pairs, early, known, late, crossed, cross, groups):
+    for used in (signed, met, pairs, texts, early, known, late, crossed, cross, groups):
         discard(used)
     return done
