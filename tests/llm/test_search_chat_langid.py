@@ -44,13 +44,41 @@ def test_search_small_and_empty(spark):
     assert ann.search(df.limit(1)).collect() == []
 
 
+def test_search_decides_by_codes(spark):
+    """At most 10 x 24 of 4000 vectors are multiplied exactly for a query (6 %)."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 30))[rng.integers(0, 40, 4000)] + 0.7 * rng.normal(size=(4000, 30))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, cells=16, probes=10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(list(range(4000)), x, 20, 20)
+    assert np.mean([len(got[q] & {i for _, i in w}) / 20 for q, w in want.items()]) >= 0.9
+
+
+def test_table_scan_gives_products_with_decoded_vectors():
+    rng = np.random.default_rng(3)
+    for d in (5, 12, 32):
+        x, asked = rng.normal(size=(500, d)).astype(np.float32), rng.normal(size=(7, d)).astype(np.float32)
+        q = ann.fit(x, 2)
+        packed = q.encode(x, np.ones(500, int))
+        codes = ann.unpacked(packed, len(q.books))
+        decoded = q.centres[1] + np.concatenate([b[codes[:, m]] for m, b in enumerate(q.books)], 1)
+        assert packed.shape[1] == -(-len(q.books) // 2) and np.allclose(q.scores(asked, packed, 1), asked @ decoded.T, atol=1e-3)
+
+
+def test_largest_takes_the_first_of_equal_ones():
+    s = np.array([[1.0, 3, 3, 2, 3, -np.inf], [0, 0, 0, 0, 0, 0]])
+    assert ann.largest(s, 2).tolist() == [[1, 2], [0, 1]] and ann.largest(s, 4).tolist() == [[1, 2, 3, 4], [0, 1, 2, 3]] and ann.largest(s, 9).shape == (2, 6)
+
+
 def test_anisotropic_codes_beat_plain_ones_on_large_products():
     rng = np.random.default_rng(1)
     x = ann._directions(rng.normal(size=(3000, 32)))
     errors = []
     for threshold in (0.0, 0.4):
         q = ann.fit(x, 1, threshold=threshold)
-        codes = q.encode(x.astype(np.float32), np.zeros(len(x), int))
+        codes = ann.unpacked(q.encode(x.astype(np.float32), np.zeros(len(x), int)), len(q.books))
         decoded = q.centres[0] + np.concatenate([b[codes[:, m]] for m, b in enumerate(q.books)], 1)
         errors.append(np.abs(((x - decoded) * x).sum(1)).mean())
     assert errors[1] < errors[0]
