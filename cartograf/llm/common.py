@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
@@ -43,6 +44,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+MOST_SENT = 1 << 20  # numbers that a broadcast may hold (16 MB)
+
+
+def counted(ids: DataFrame) -> DataFrame:
+    """A table of one number a row (already written), to be broadcast if it has no more than MOST_SENT rows; else joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+
 def trim() -> None:
     """Give freed memory back: Python workers stay for later stages, and would keep the most they ever held."""
     pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_text, block_batch, blocks, by_bucket, discard, materialise, mix64, ragged, raw, shuffle_partitions, slices, span_hashes, trim, unblock, words_at
+from .common import U64, as_text, block_batch, blocks, by_bucket, counted, discard, materialise, mix64, ragged, raw, shuffle_partitions, slices, span_hashes, trim, unblock, words_at
 from .components import components
 
 BANDS, ROWS, REPS = 48, 5, 8
@@ -400,8 +400,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     pairs = materialise(local.unionByName(bands).unionByName(equal).groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-pairs")
     unsure, members = pairs.filter("not sure").select("a", "b"), wide_members(wide, kinds)
     # texts are dealt out once; what follows reads only those that some other document may be like
-    wanted = unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("doc").alias("doc_id"))).distinct()
-    texts = materialise(rows.filter("doc_id is not null and text is not null").join(wanted, "doc_id", "left_semi"), "near-texts")
+    wanted = materialise(unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("doc").alias("doc_id"))).distinct(), "near-wanted")
+    texts = materialise(rows.filter("doc_id is not null and text is not null").join(counted(wanted), "doc_id", "left_semi"), "near-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -430,6 +430,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     component = F.coalesce("component", "doc_id")
     done = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     done = materialise(done, "near-groups")  # so that what is larger can go
-    for used in (signed, met, pairs, texts, early, known, late, crossed, cross, groups):
+    for used in (signed, met, pairs, wanted, texts, early, known, late, crossed, cross, groups):
         discard(used)
     return done
