@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograf.llm.common import materialise
+from cartograf.llm.common import counted, materialise
 from cartograf.llm.langid import UNKNOWN, held_out, identify, train
 from cartograf.llm.neardup import near_duplicates
 from cartograf.llm.packing import pack
@@ -47,9 +47,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = near_duplicates(docs, size=SHINGLE, percent=PERCENT)
     by_id = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    gone, again = by_id.filter(~F.col("kept")).select("doc_id"), by_id.filter(F.col("kept") & (F.col("rows") > 1)).select("doc_id")
+    gone = materialise(by_id.filter(~F.col("kept")).select("doc_id"), "near-gone")
+    again = by_id.filter(F.col("kept") & (F.col("rows") > 1)).select("doc_id")
     if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(counted(gone), "doc_id", "left_anti").select(*docs.columns)
     once = docs.join(gone.unionByName(again), "doc_id", "left_anti")
     return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
