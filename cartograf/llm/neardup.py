@@ -398,7 +398,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     wide = dealt.filter(F.col("bucket") == 2 * n).select("body").unionByName(met.filter("body is not null").select("body"))
     local = signed.filter("kind in (1, 3)").select("a", "b", (F.col("kind") == 3).alias("sure"))
     pairs = materialise(local.unionByName(bands).unionByName(equal).groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-pairs")
-    unsure, members = pairs.filter("not sure").select("a", "b"), wide_members(wide, kinds)
+    unsure, members = pairs.filter("not sure").select("a", "b"), materialise(wide_members(wide, kinds), "near-members")
+    sizes = materialise(signed.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles")), "near-sizes")
+    for used in (signed, met):  # the largest tables; what is left of them is written
+        discard(used)
     # texts are dealt out once; what follows reads only those that some other document may be like
     wanted = materialise(unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("doc").alias("doc_id"))).distinct(), "near-wanted")
     texts = materialise(rows.filter("doc_id is not null and text is not null").join(counted(wanted), "doc_id", "left_semi"), "near-texts")
@@ -425,11 +428,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     if not cross.isEmpty():
         was, groups = groups, components(cross.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         discard(was)
-    out = signed.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    out = out.join(groups, out.doc_id == groups.node, "left").drop("node")
+    out = sizes.join(groups, sizes.doc_id == groups.node, "left").drop("node")
     component = F.coalesce("component", "doc_id")
     done = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     done = materialise(done, "near-groups")  # so that what is larger can go
-    for used in (signed, met, pairs, wanted, texts, early, known, late, crossed, cross, groups):
+    for used in (sizes, members, pairs, wanted, texts, early, known, late, crossed, cross, groups):
         discard(used)
     return done
