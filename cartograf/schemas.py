@@ -6,23 +6,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+STRING, INT, LONG, DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()}
-
-
-def _table(required: str, optional: str) -> T.StructType:
-    fields = [(*f.split(), False) for f in required.split(",")] + [(*f.split(), True) for f in optional.split(",") if f]
-    return T.StructType([T.StructField(n, _TYPES[t], null) for n, t, null in fields])
-
-
-NODES = _table(
-    "id string,kind string,name string",
-    "language string,qualified_name string,file_path string,start_line int,end_line int,hash string,summary string,metadata_json string,domain string,subsystem string,cluster_id string,centrality_score double",
+NODES = (
+    T.StructType()
+    .add("id", STRING, False)
+    .add("kind", STRING, False)
+    .add("name", STRING, False)
+    .add("language", STRING)
+    .add("qualified_name", STRING)
+    .add("file_path", STRING)
+    .add("start_line", INT)
+    .add("end_line", INT)
+    .add("hash", STRING)
+    .add("summary", STRING)
+    .add("metadata_json", STRING)
+    .add("domain", STRING)
+    .add("subsystem", STRING)
+    .add("cluster_id", STRING)
+    .add("centrality_score", DOUBLE)
+)
+EDGES = (
+    T.StructType()
+    .add("id", STRING, False)
+    .add("from_id", STRING, False)
+    .add("to_id", STRING, False)
+    .add("kind", STRING, False)
+    .add("confidence", DOUBLE)
+    .add("metadata_json", STRING)
+    .add("source_file", STRING)
+    .add("source_start_line", INT)
+    .add("source_end_line", INT)
+)
+FILES = (
+    T.StructType()
+    .add("path", STRING, False)
+    .add("hash", STRING)
+    .add("mtime", LONG)
+    .add("language", STRING)
+    .add("last_indexed_at", LONG)
+    .add("symbol_count", INT)
+    .add("edge_count", INT)
+    .add("domain", STRING)
+    .add("subsystem", STRING)
+    .add("centrality_score", DOUBLE)
 )
-EDGES = _table("id string,from_id string,to_id string,kind string", "confidence double,metadata_json string,source_file string,source_start_line int,source_end_line int")
-FILES = _table("path string", "hash string,mtime bigint,language string,last_indexed_at bigint,symbol_count int,edge_count int,domain string,subsystem string,centrality_score double")
-DOCS = _table("name string", "content string,updated_at bigint")
-METADATA = _table("key string", "value string")
+DOCS = T.StructType().add("name", STRING, False).add("content", STRING).add("updated_at", LONG)
+METADATA = T.StructType().add("key", STRING, False).add("value", STRING)
 TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "docs": DOCS, "graph_metadata": METADATA}
 KEYS = {"nodes": "id", "edges": "id", "files": "path", "docs": "name", "graph_metadata": "key"}
 SCHEMA_VERSION = 2
