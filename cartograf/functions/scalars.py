@@ -89,6 +89,7 @@ def contained(path: Column | str, root: str) -> Column:
 
 # names
 
+# The steps that normalise a name, in the order in which they apply.
 _STRIPS = (
     (r"\A[\"'`]", ""),
     (r"[\"'`]\z", ""),
