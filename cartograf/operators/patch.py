@@ -67,13 +67,15 @@ def delete_files(graph: Graph, paths: DataFrame) -> Graph:
 def apply_patch(graph: Graph, files: DataFrame, nodes: DataFrame, edges: DataFrame, deleted: DataFrame | None = None, order: str | None = None) -> Graph:
     """The graph after a patch: rows of patched and deleted files go, the patch's come, enriched and resolved.
 
-    Rows of nodes and edges may carry a column ``order`` that says which of several with one id is last.
+    Rows of nodes and edges may carry a column ``order`` that says which of several with one id is last; of a file's rows the
+    one that was indexed last counts.
     """
     nodes = S.conform(last_wins(nodes, "id", order), S.NODES)
     edges = S.conform(last_wins(edges, "id", order), S.EDGES)
     nodes = cut(enrich_nodes(nodes))
     edges = cut(S.conform(resolve_edges(cut(check_ends(edges)), nodes, graph.nodes), S.EDGES))
-    files = cut(enrich_files(S.conform(last_wins(files, "path"), S.FILES), nodes, edges))
+    newest = S.conform(files, S.FILES).withColumn("order", F.struct("last_indexed_at", "mtime", "hash"))
+    files = cut(enrich_files(S.conform(last_wins(newest, "path", "order"), S.FILES), nodes, edges))
     touched = files.select("path")
     if deleted is not None:
         touched = touched.unionByName(deleted.select("path"))
@@ -81,6 +83,11 @@ def apply_patch(graph: Graph, files: DataFrame, nodes: DataFrame, edges: DataFra
     return Graph(upsert(kept.nodes, nodes, "id"), upsert(kept.edges, edges, "id"), upsert(kept.files, files, "path"))
 
 
+def settled(graph: Graph) -> Graph:
+    """The graph written to the shared folder, so that what reads it often doesn't patch it again each time."""
+    return Graph(cut(graph.nodes), cut(graph.edges), cut(graph.files))
+
+
 def relabel(graph: Graph, carry: bool = True) -> Graph:
     """Labels and centralities after analysis, by joins: of nodes by their file and id, of files by path. Nodes without edges get 0."""
     topology = cut(file_topology(graph.nodes, graph.edges, graph.files, carry))
