@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,11 @@ _EDGE_ONLY = ("from_id", "to_id", "confidence", "source_file", "source_start_lin
 _ROW = "row string, id string, kind string, name string, language string, qualified_name string, file_path string, start_line int, end_line int, hash string, metadata_json string, from_id string, to_id string, confidence double, source_file string, source_start_line int, source_end_line int, message string"
 
 
-def extract_rows(files: DataFrame, registry: Registry = default) -> DataFrame:
-    """Tagged rows (node, edge, skipped, failed) of files (path, language, content). One bad file doesn't stop the others."""
+def extract_rows(files: DataFrame, registry: Registry = default, done: Accumulator | None = None) -> DataFrame:
+    """Tagged rows (node, edge, skipped, failed) of files (path, language, content). One bad file doesn't stop the others.
+
+    ``done`` counts the files of finished tasks.
+    """
     names = [f.split(" ")[0] for f in _ROW.split(", ")]
     types = [pa.string() if f.endswith("string") else pa.float64() if f.endswith("double") else pa.int32() for f in _ROW.split(", ")]
 
@@ -57,6 +61,8 @@ def extract_rows(files: DataFrame, registry: Registry = default) -> DataFrame:
         for batch in batches:
             rows: list[dict] = []
             for path, language, content in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content")), strict=True):
+                if done is not None:
+                    done.add(1)
                 chosen = registry.route(path or "", language)
                 if chosen is None or content is None:
                     rows.append({"row": "skipped", "file_path": path, "message": "no content" if content is None else "no extractor"})
@@ -76,7 +82,7 @@ def extract_rows(files: DataFrame, registry: Registry = default) -> DataFrame:
     return files.select("path", "language", "content").mapInArrow(run, _ROW)
 
 
-def extract(files: DataFrame, registry: Registry = default) -> tuple[DataFrame, DataFrame]:
+def extract(files: DataFrame, registry: Registry = default, done: Accumulator | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of files; each file is parsed once."""
-    rows = cut(extract_rows(files, registry))
+    rows = cut(extract_rows(files, registry, done))
     return S.conform(rows.filter(F.col("row") == "node"), S.NODES), S.conform(rows.filter(F.col("row") == "edge"), S.EDGES)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from cartograf import report
+import os
+import time
+
+import pytest
+
+from cartograf import indexing, report
 from cartograf.extract import registry
 from cartograf.operators import patch
 from cartograf.sources import store, workspace
@@ -99,3 +104,84 @@ def test_parent_steps_at_any_depth(spark):
     df = spark.createDataFrame([("write_file", {"path": n}, None, None) for n in names], "tool_name string, params map<string,string>, files array<string>, paths array<string>")
     want = {changes.normalized(n, "/ws") for n in names} - {None}
     assert {r.path for r in changes.dirty_set(df, "/ws").collect()} == want and "/ws/x.ts" in want
+
+
+def test_init_and_update_end_to_end(spark, tmp_path):
+    a = write(tmp_path, "src/core/store.ts", "export class Store {\n  save(x: number) { return x; }\n}\n")
+    b = write(tmp_path, "src/app/main.py", "def start():\n    helper()\n\ndef helper():\n    return 2\n")
+    write(tmp_path, "notes.md", "no code\n")
+    h = write(tmp_path, "src/c/a.h", "struct P { int x; };\n")
+    s, told = store.GraphStore(spark, str(tmp_path / ".graph")), []
+    assert indexing.update(s, str(tmp_path)) == {"updated": 0, "source": "none", "skipped": True}
+    done = indexing.init(s, str(tmp_path), progress=lambda n, total: told.append((n, total)))
+    assert done["initialized"] and (done["files"], done["skipped"], done["deleted"]) == (3, 1, 0) and told[-1] == (4, 4)
+    assert changes.graph_state(s) == "ready" and indexing.init(s, str(tmp_path)) == {"skipped": True, "state": "ready"}
+    files = {r.path: r for r in s.table("files").collect()}
+    assert set(files) == {a, b, h} and files[h].language == "c" and files[b].symbol_count == 3
+    assert s.node(f"function:{b}:start").first().name == "start"
+    assert [r.to_id for r in s.table("edges").filter("kind = 'calls'").collect()] == [f"function:{b}:helper"]
+    want = store.build_revision(str(tmp_path), None, int(s.revision()["indexedAt"]), [f.hash for f in files.values()])
+    assert s.revision()["graphRevision"] == want["graphRevision"]
+    first = s.version()
+    assert indexing.update(s, str(tmp_path)) == {"updated": 0, "checked": 3, "source": "tracked", "skipped": True} and s.version() == first
+    write(tmp_path, "src/app/main.py", "def start():\n    return 1\n")
+    os.unlink(a)
+    store.mark_dirty(str(s.folder), [a, b, h])
+    assert indexing.init(s, str(tmp_path))["needsUpdate"]
+    got = indexing.update(s, str(tmp_path))
+    assert (got["updated"], got["checked"], got["source"]) == (2, 3, "dirty") and changes.graph_state(s) == "ready"
+    assert {r.id for r in s.table("nodes").filter("kind <> 'struct'").collect()} == {f"file:{b}", f"function:{b}:start", f"file:{h}"}
+    assert {r.path for r in s.table("files").collect()} == {b, h} and s.file(a).isEmpty()
+
+    def abort(n, total):
+        raise KeyError("stop")
+
+    with pytest.raises(KeyError):
+        indexing.init(s, str(tmp_path), force=True, progress=abort)
+    assert not (s.folder / "_LOCK").exists()
+    assert indexing.auto_index(s, str(tmp_path)) is None
+
+
+def test_background_index(spark, tmp_path, monkeypatch):
+    write(tmp_path, "a.py", "def f():\n    pass\n")
+    monkeypatch.setattr(workspace, "BARRED", {"/": 0})
+    s, told = store.GraphStore(spark, str(tmp_path / ".graph")), []
+    assert indexing.auto_index(s, str(tmp_path)) is None  # no marker
+    write(tmp_path, "Makefile", "")
+    assert indexing.auto_index(s, str(tmp_path), told.append).result(120)["files"] == 1
+    assert changes.graph_state(s) == "ready"
+
+
+def test_safety_rules(tmp_path, monkeypatch):
+    write(tmp_path, "go.mod", "")
+    assert not workspace.safe_to_index(str(tmp_path))  # system tree
+    monkeypatch.setattr(workspace, "BARRED", {k: v for k, v in workspace.BARRED.items() if k != "/tmp"})
+    assert workspace.safe_to_index(str(tmp_path))
+    monkeypatch.setenv("HOME", str(tmp_path))
+    assert not workspace.safe_to_index(str(tmp_path))
+    assert not any(map(workspace.safe_to_index, ("/", "/home", "/home/a", "/Users/b", "/root", "/etc", "/usr/lib/x")))
+
+
+def test_lock(spark, tmp_path, monkeypatch):
+    one, two = (store.GraphStore(spark, str(tmp_path)) for _ in range(2))
+    monkeypatch.setattr(store, "RETRIES", 1)
+    monkeypatch.setattr(store, "REFRESH_S", 0.05)
+    old = time.time() - 100
+    with one.lock() as held:
+        os.utime(held.path, (old, old))
+        time.sleep(0.5)  # the holder touches it again
+        with pytest.raises(TimeoutError), two.lock():
+            pass
+        held._over.set()
+        time.sleep(0.2)
+        os.utime(held.path, (old, old))
+        with two.lock() as other:  # taken over
+            with pytest.raises(store.LostLock):
+                one.commit(make(spark, [], []))
+            held.release()
+            assert other.mine()
+    assert not held.path.exists()
+    version = one.commit(make(spark, [], []))
+    with pytest.raises(store.StaleGraph):
+        two.commit(make(spark, [], []), over="v1")
+    assert two.version() == version and list(tmp_path.glob("_LOCK*")) == []
