@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import json
 import posixpath
 import re
 
-from .names import CONFIDENCE, Binding, semantic_target, types_in, verbs_of
+from .names import CONFIDENCE, Binding, metadata_json, semantic_target, types_in, verbs_of
 
 
 class Builder:
@@ -35,7 +34,7 @@ class Builder:
         ident = f"{kind}:{self.path}:{qualified}"
         if ident not in self._ids:
             text = self.content[start:end]
-            self._node(ident, kind, name, qualified, self.line(start), self.line(max(start, end - 1)), hashlib.sha256(text.encode()).hexdigest(), json.dumps(metadata, separators=(",", ":")) if metadata else None)
+            self._node(ident, kind, name, qualified, self.line(start), self.line(max(start, end - 1)), hashlib.sha256(text.encode()).hexdigest(), metadata_json(kind, metadata or None))
             self.edge("contains", self.file, ident, 1.0, start, end)
         return ident
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import numbers
 import posixpath
 import re
 from typing import NamedTuple
 
+from .. import schemas as S
 from ..functions.scalars import _STRIPS, TYPE_STOPS, VERBS
 
 STRIPS = [(re.compile(p, re.ASCII if "\\s" not in p else 0), by) for p, by in ((p.replace("\\z", "\\Z"), by) for p, by in _STRIPS)]
@@ -71,3 +74,13 @@ def verbs_of(callee: str, only: tuple[str, ...]) -> list[str]:
 def include_target(path: str, raw: str) -> str:
     name = raw.strip().strip('"<>')
     return posixpath.normpath(posixpath.join(posixpath.dirname(path), name)) if name.startswith(".") or "/" in name else name
+
+
+def metadata_json(kind: str, metadata: dict | None) -> str | None:
+    """Metadata of a node as JSON text; fails where an entry has another type than its kind of node demands."""
+    for name, wanted in S.METADATA_TYPES.get(kind, {}).items():
+        value = (metadata or {}).get(name, ...)
+        fits = isinstance(value, bool) if wanted == "boolean" else isinstance(value, numbers.Real) and not isinstance(value, bool)
+        if value is not ... and not fits:
+            raise ValueError(f"{kind} metadata: {name} must be {wanted}")
+    return None if metadata is None else json.dumps(metadata, separators=(",", ":"), ensure_ascii=False)

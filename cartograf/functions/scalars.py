@@ -226,3 +226,19 @@ def is_stale(millis: Column | str, now: int, threshold: int = 60_000) -> Column:
 
 def line_count(text: Column | str) -> Column:
     return F.size(F.split(col(text), "\n", -1))
+
+
+# metadata of nodes
+
+_VARIANTS = {"boolean": "BOOLEAN", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT"}
+
+
+def metadata_problem(kind: Column | str, metadata: Column | str) -> Column:
+    """What is wrong with a node's metadata (JSON text); null if nothing is. An entry with the value null is wrong, a missing one isn't."""
+    value = F.try_parse_json(col(metadata))
+    problem = F.when(col(metadata).isNotNull() & value.isNull(), F.lit("metadata is no JSON"))
+    for of, entries in S.METADATA_TYPES.items():
+        for name, wanted in entries.items():
+            found = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
+            problem = problem.when((col(kind) == of) & ~found.rlike(f"^({_VARIANTS[wanted]})"), F.lit(f"{of} metadata: {name} must be {wanted}"))
+    return problem

@@ -40,6 +40,12 @@ def check_ends(edges: DataFrame) -> DataFrame:
     return edges.withColumn("from_id", F.when(bad, F.raise_error(F.concat(F.lit("edge without both ends: "), F.coalesce("id", F.lit("?")))).cast("string")).otherwise(F.col("from_id")))
 
 
+def check_metadata(nodes: DataFrame) -> DataFrame:
+    """Fails where a node's metadata has an entry of a wrong type."""
+    problem = X.metadata_problem("kind", "metadata_json")
+    return nodes.withColumn("metadata_json", F.when(problem.isNotNull(), F.raise_error(F.concat(problem, F.lit(" in "), F.col("id"))).cast("string")).otherwise(F.col("metadata_json")))
+
+
 def last_wins(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """One row for each key: the one with the largest ``order`` (dropped from the result), or any if there is none."""
     if order is None:
@@ -72,7 +78,7 @@ def apply_patch(graph: Graph, files: DataFrame, nodes: DataFrame, edges: DataFra
     """
     nodes = S.conform(last_wins(nodes, "id", order), S.NODES)
     edges = S.conform(last_wins(edges, "id", order), S.EDGES)
-    nodes = cut(enrich_nodes(nodes))
+    nodes = cut(enrich_nodes(check_metadata(nodes)))
     edges = cut(S.conform(resolve_edges(cut(check_ends(edges)), nodes, graph.nodes), S.EDGES))
     newest = S.conform(files, S.FILES).withColumn("order", F.struct("last_indexed_at", "mtime", "hash"))
     files = cut(enrich_files(S.conform(last_wins(newest, "path", "order"), S.FILES), nodes, edges))

@@ -271,6 +271,18 @@ ORACLE: dict[str, str] = {
         f"SELECT id, kind, CASE WHEN kind = 'service' AND split_part(id, ':', 2)::BIGINT % 3 = 0 THEN 'New ' || name ELSE name END AS name, file_path, domain, subsystem, cluster_id FROM nodes"
     ),
     "patch_delete": on_graph("SELECT id FROM nodes WHERE NOT contains(file_path, '/ui/') UNION ALL SELECT path FROM files WHERE NOT contains(path, '/ui/')"),
+    "patch_apply": on_graph(
+        """SELECT 'node' AS part, id, CASE WHEN kind = 'service' THEN 'New ' || name ELSE name END AS a, cluster_id AS b, file_path AS c FROM nodes
+        WHERE CASE WHEN kind = 'service' THEN split_part(id, ':', 2)::BIGINT % 3 = 0 ELSE kind <> 'namespace' END
+        UNION ALL SELECT 'edge', id, from_id, to_id, NULL FROM edges
+        UNION ALL SELECT 'edge', 'imports|service:' || s_suppkey || '|' || lower(n_name), 'service:' || s_suppkey, 'module:' || n_nationkey, '/ws/src/runtime/supplier_' || n_nationkey || '.py' FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 = 0
+        UNION ALL SELECT 'edge', 'calls|service:' || s_suppkey || '|nobody:knows', 'service:' || s_suppkey, 'nobody:knows', '/ws/src/runtime/supplier_' || s_nationkey || '.py' FROM supplier WHERE s_suppkey % 3 = 0
+        UNION ALL SELECT 'file', path, NULL, symbol_count::VARCHAR, NULL FROM files WHERE NOT contains(path, '/supplier_') AND path <> '/ws/src/graph/regions.ts'
+        UNION ALL SELECT 'file', '/ws/src/runtime/supplier_' || s_nationkey || '.py', 'h', count(*) FILTER (s_suppkey % 3 = 0)::VARCHAR, (2 * count(*) FILTER (s_suppkey % 3 = 0))::VARCHAR FROM supplier GROUP BY s_nationkey"""
+    ),
+    "metadata_types": """SELECT doc_id, CASE
+        WHEN doc_id % 5 < 2 AND doc_id % 7 < 2 OR doc_id % 5 = 2 AND doc_id % 7 = 2 OR doc_id % 5 = 4 AND doc_id % 7 IN (3, 6) THEN doc_id % 4 = 0
+        WHEN doc_id % 5 = 3 AND doc_id % 7 IN (3, 6) THEN doc_id % 4 = 1 ELSE true END AS fits FROM documents""",
     "node_enrich": on_graph("SELECT id, domain, subsystem, cluster_id FROM nodes"),
     "relabelled_nodes": on_graph("SELECT n.id, t.domain, t.subsystem, t.cluster_id, coalesce(r.centrality, 0)::DOUBLE AS centrality_score FROM nodes n JOIN topology t ON t.path = n.file_path LEFT JOIN ranked r ON r.id = n.id"),
     "hash_diff": """SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'changed' END AS status FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0""",

@@ -343,6 +343,38 @@ def patch_delete(g):
     return left.nodes.select("id").unionByName(left.files.select(F.col("path").alias("id")))
 
 
+@on_graph
+def patch_apply(g):
+    """A whole patch: files indexed anew with renamed services and two edges each, one end as text; one file deleted."""
+    services = _patch(g)
+    links = services.select(F.col("id").alias("from_id"), F.regexp_extract("file_path", r"supplier_(\d+)", 1).alias("nation"), "seq")
+    module = g.nodes.filter("kind = 'module'").select(F.substring_index("id", ":", -1).alias("nation"), F.lower("name").alias("text"))
+    links = links.join(module, "nation")
+    edges = links.select("from_id", F.col("text").alias("to_id"), F.lit("imports").alias("kind"), "seq").unionByName(links.select("from_id", F.lit("nobody:knows").alias("to_id"), F.lit("calls").alias("kind"), "seq"))
+    order = F.col("seq").alias("order")
+    edges = edges.select("*", F.concat_ws("|", "kind", "from_id", "to_id").alias("id")).withColumn("order", order).drop("seq")
+    nodes = services.withColumn("order", order).drop("seq")
+    files = g.files.filter(F.col("path").contains("/supplier_")).select("path", F.lit("h").alias("hash"), F.lit(1).cast("long").alias("last_indexed_at"), "language")
+    files = files.unionByName(files.withColumns({"hash": F.lit("older"), "last_indexed_at": F.lit(0).cast("long")}))
+    gone = g.files.filter("path = '/ws/src/graph/regions.ts'").select("path")
+    after = patch.apply_patch(g, files, _with_order(nodes, S.NODES), _with_order(edges, S.EDGES), gone, "order")
+    row = lambda df, part, *columns: df.select(F.lit(part).alias("part"), *[F.col(c).cast("string").alias(n) for n, c in zip(("id", "a", "b", "c"), columns, strict=True)])
+    return row(after.nodes, "node", "id", "name", "cluster_id", "file_path").unionByName(row(after.edges, "edge", "id", "from_id", "to_id", "source_file")).unionByName(row(after.files, "file", "path", "hash", "symbol_count", "edge_count"))
+
+
+def _with_order(df, schema):
+    return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema], "order")
+
+
+@query
+def metadata_types(spark, sf_dir):
+    """Whether metadata made up from the ids has the types that its kind of node demands."""
+    pick = lambda *words: F.element_at(F.array(*map(F.lit, words)), (F.pmod("doc_id", F.lit(len(words))) + 1).cast("int"))
+    text = F.concat(F.lit('{"'), pick("async", "exported", "abstract", "qos", "retain"), F.lit('":'), pick("true", "1", '"x"', "null"), F.lit("}"))
+    kind = pick("function", "method", "class", "topic", "module", "type", "topic")
+    return table(spark, sf_dir, "documents").select("doc_id", X.metadata_problem(kind, text).isNull().alias("fits"))
+
+
 @on_graph
 def node_enrich(g):
     return patch.enrich_nodes(g.nodes.withColumns({c: F.lit(None).cast("string") for c in ("domain", "subsystem", "cluster_id")})).select("id", "domain", "subsystem", "cluster_id")

@@ -88,6 +88,9 @@ NOT_RANKED = ("file", "variable", "type", "enum", "message", "queue", "topic")
 RECOMMENDABLE = ("class", "function", "method", "module", "trait", "service", "tool", "flow", "process")
 THIRD_PARTY = ("thirdparty", "third-party", "3rdparty", "vendor", "external", "extern", "deps", "dependencies", "submodules", "generated")
 DOMAINS = ("runtime", "tools", "graph", "parsing", "orchestration", "indexing", "protocol", "core", "media", "ui", "app", "frontend", "frontends", "backend")
+# types that entries of a node's metadata must have, by kind of node
+FUNCTION_METADATA = {"async": "boolean", "exported": "boolean"}
+METADATA_TYPES = {"function": FUNCTION_METADATA, "method": FUNCTION_METADATA, "class": {"abstract": "boolean"}, "topic": {"retain": "boolean", "qos": "number"}}
 LANGUAGES = {
     ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript",
     ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",

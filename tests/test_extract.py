@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
+
 from cartograf.extract import registry
-from cartograf.extract.names import Binding, include_target, normalize, semantic_target, through_bindings
+from cartograf.extract.names import Binding, include_target, metadata_json, normalize, semantic_target, through_bindings
 
 
 def run(path, content, language=None):
@@ -11,6 +13,14 @@ def run(path, content, language=None):
     return b, {(n["kind"], n["qualified_name"]) for n in b.nodes}, {(e["kind"], e["from_id"].rpartition(":")[2], e["to_id"]) for e in b.edges}
 
 
+def test_metadata():
+    assert metadata_json("function", {"async": True, "note": "é"}) == '{"async":true,"note":"é"}' and metadata_json("topic", None) is None
+    assert metadata_json("topic", {"qos": 1.5}) == '{"qos":1.5}' and metadata_json("module", {"async": 1}) == '{"async":1}'
+    for kind, bad in (("method", {"exported": None}), ("class", {"abstract": 1}), ("topic", {"qos": True}), ("topic", {"retain": "x"})):
+        with pytest.raises(ValueError, match="must be"):
+            metadata_json(kind, bad)
+
+
 def test_names():
     assert normalize("new this.client.read()") == "client.read"
     assert normalize('  "abc"') == "abc" and normalize("a->b()") == "a.b" and normalize("crate::x::{A, B}") == "x"
