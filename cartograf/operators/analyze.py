@@ -47,20 +47,24 @@ def recommendations(ranked: DataFrame, k: int = 5) -> DataFrame:
 
 
 def file_edges(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Architecture edges between tracked files: from_path, to_path, kind, weight (one row for each edge)."""
+    """Architecture edges between tracked files: from_path, to_path, kind, n (edges), weight (of one edge of the kind).
+
+    Edges of one file to one node are counted before the far end is looked up, by the partitioning that the look-up needs anyway.
+    """
     path = nodes.select("id", "file_path")
-    a, b = path.select(F.col("id").alias("from_id"), F.col("file_path").alias("a")), path.select(F.col("id").alias("to_id"), F.col("file_path").alias("b"))
-    arch = edges.filter(X.is_architecture()).select("from_id", "to_id", "kind", "source_file")
-    found = arch.join(a, "from_id", "left").join(b, "to_id").select(F.coalesce("a", "source_file").alias("from_path"), F.col("b").alias("to_path"), "kind")
-    found = found.filter((F.col("from_path") != "") & (F.col("to_path") != ""))
+    a, b = path.select(F.col("id").alias("from_id"), F.col("file_path").alias("a")), path.select(F.col("id").alias("to_id"), F.col("file_path").alias("to_path")).filter("to_path <> ''")
     tracked = files.select("path")
+    arch = edges.filter(X.is_architecture()).select("from_id", "to_id", "kind", "source_file")
+    near = arch.join(a, "from_id", "left").select(F.coalesce("a", "source_file").alias("from_path"), "to_id", "kind").filter("from_path <> ''")
+    near = near.repartition("to_id").groupBy("to_id", "from_path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    found = near.join(b, "to_id").groupBy("from_path", "to_path", "kind").agg(F.sum("n").alias("n"))
     found = found.join(tracked, found.from_path == tracked.path, "left_semi").join(tracked, found.to_path == tracked.path, "left_semi")
     return found.withColumn("weight", X.edge_weight())
 
 
 def file_pairs(between: DataFrame) -> DataFrame:
     """from_path, to_path, n (edges), weight (their sum): no more rows than pairs of files that have edges."""
-    return between.groupBy("from_path", "to_path").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    return between.groupBy("from_path", "to_path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("weight"))
 
 
 def file_fan(files: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def neighbors_both(g):
 
 @on_graph
 def file_edges(g):
-    return analyze.file_edges(g.nodes, g.edges, g.files).groupBy("from_path", "to_path", "kind").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
+    return analyze.file_edges(g.nodes, g.edges, g.files).select("from_path", "to_path", "kind", F.col("n").alias("edges"), (F.col("n") * F.col("weight")).alias("weight"))
 
 
 def _pairs(g):
