@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
-from .tokens import encode_slice, merging_encoder, ship, tokenizer_file
+from .tokens import encode_slice, merging_encoder, ship_proved, tokenizer_file
 
 MOST_QUEUES = 1 << 16
 TURN = 16  # rounds a window
@@ -138,11 +138,11 @@ def pack(
     ``targets`` gives sources whole-number weights (others get 1); without it a source weighs what it holds.
     """
     spark = df.sparkSession
-    content = ship(spark, path or tokenizer_file("byte_bpe_50k.json"))
+    proved = ship_proved(spark, path or tokenizer_file("byte_bpe_50k.json"))
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), queue_name(df, source, targets).alias("queue"), F.col(source).cast("string").alias("source"))
 
     def encode(batches):
-        encoder, specials = merging_encoder(content.value)
+        encoder, specials = merging_encoder(*proved.value)
         part, given = TaskContext.get().partitionId(), {}
         for batch in batches:
             for own, data, offsets in slices(batch, "text"):

@@ -29,12 +29,22 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def ship(spark: SparkSession, path: str):
+def vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         content = f.read()
     if len(content) > MOST_BYTES:
         raise ValueError(f"{path} is larger than a vocabulary may be")
-    return spark.sparkContext.broadcast(content)
+    return content
+
+
+def ship(spark: SparkSession, path: str):
+    return spark.sparkContext.broadcast(vocabulary(path))
+
+
+def ship_proved(spark: SparkSession, path: str):
+    """Broadcast arguments of ``merging_encoder``: the vocabulary and its proof."""
+    content = vocabulary(path)
+    return spark.sparkContext.broadcast((content, proof(content)))
 
 
 def extended(df: DataFrame, added: list[tuple[str, str]]) -> tuple[DataFrame, T.StructType]:
@@ -72,9 +82,17 @@ def provably_whole(vocab: Vocabulary) -> dict[bytes, int]:
 
 
 @cache
-def merging_encoder(content: bytes) -> tuple[Encoder, dict[bytes, int]]:
+def proof(content: bytes) -> bytes:
+    """Ids of the vocabulary strings that are provably whole, as 32-bit integers: made once on the driver, shipped to the workers."""
+    return np.array(sorted(provably_whole(load_json(content.decode("utf-8"))).values()), np.int32).tobytes()
+
+
+@cache
+def merging_encoder(content: bytes, whole: bytes) -> tuple[Encoder, dict[bytes, int]]:
+    """Encoder for a vocabulary and its ``proof``, and the special strings."""
     vocab = load_json(content.decode("utf-8"))
-    return Encoder(Merger(vocab), provably_whole(vocab)), {k.encode(): v for k, v in vocab.specials.items()}
+    sure = {vocab.tokens[i]: i for i in np.frombuffer(whole, np.int32).tolist()}
+    return Encoder(Merger(vocab), sure), {k.encode(): v for k, v in vocab.specials.items()}
 
 
 @cache
@@ -133,11 +151,11 @@ def count_tokens(df: DataFrame, text: str = "text", path: str | None = None, lim
     for the others, once for each distinct match that a worker remembers. Special strings of the file count
     as one token, as the library takes them by default. An empty table gives an empty result.
     """
-    content = ship(df.sparkSession, path or tokenizer_file("byte_bpe_50k.json"))
+    proved = ship_proved(df.sparkSession, path or tokenizer_file("byte_bpe_50k.json"))
     df, schema = extended(df, [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")])
 
     def run(batches):
-        encoder, specials = merging_encoder(content.value)
+        encoder, specials = merging_encoder(*proved.value)
         for batch in batches:
             for rows, data, offsets in slices(batch, text):
                 n = count_slice(encoder, specials, data, offsets)

@@ -69,7 +69,7 @@ def test_counts_and_ids_match_library(spark):
     for i, t, _ in rows:
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (len(want[i]), len((t or "").encode()), len(want[i]) > 10), t
     assert K.count_tokens(df.limit(0)).count() == 0
-    encoder, specials = K.merging_encoder(JSON)
+    encoder, specials = K.merging_encoder(JSON, K.proof(JSON))
     data = np.frombuffer("".join(SAMPLES).encode(), np.uint8)
     flat, at = K.encode_slice(encoder, specials, data, np.cumsum([0, *(len(t.encode()) for t in SAMPLES)]))
     assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == want[:-1]
@@ -86,7 +86,7 @@ def test_round_trip_matches_library(spark):
 
 def test_long_texts_are_cut_only_where_no_match_goes_on():
     text = "word, it's  fine\n" * 200
-    encoder, _ = K.merging_encoder(JSON)
+    encoder, _ = K.merging_encoder(JSON, K.proof(JSON))
     data = np.frombuffer(text.encode(), np.uint8)
     from cartograf.llm.bpe import pieces
 
