@@ -186,6 +186,12 @@ _VERBS = "(VALUES ('reads', 'read|get|load|fetch'), ('writes', 'write|save|set|s
 _METRICS = """metrics AS (SELECT n.id, coalesce(sum(CASE WHEN e.from_id = n.id AND e.kind = 'defines' THEN 1 ELSE 0 END), 0)::BIGINT AS child_count, count(e.id) AS degree
   FROM nodes n LEFT JOIN edges e ON e.from_id = n.id OR e.to_id = n.id WHERE n.kind IN ('module', 'namespace', 'service') GROUP BY n.id)"""
 
+_ALL_METRICS = """metrics AS (SELECT n.id, coalesce(c.child_count, 0)::BIGINT AS child_count, coalesce(c.degree, 0) AS degree FROM nodes n LEFT JOIN (
+  SELECT id, sum(defined)::BIGINT AS child_count, count(*) AS degree FROM (
+    SELECT from_id AS id, CASE kind WHEN 'defines' THEN 1 ELSE 0 END AS defined FROM edges UNION ALL SELECT to_id, 0 FROM edges WHERE to_id <> from_id
+  ) GROUP BY id) c USING (id))"""
+_BEST = "SELECT id, name, child_count, degree FROM ranked2 WHERE nth = 1 AND (c2 IS NULL OR child_count > c2 OR (child_count = c2 AND degree >= d2 + 2))"
+
 ORACLE: dict[str, str] = {
     "nodes_by_kind": on_graph("SELECT kind, count(*) AS count FROM nodes GROUP BY kind"),
     "nodes_by_language": on_graph("SELECT language, count(*) AS count FROM nodes WHERE language IS NOT NULL GROUP BY language"),
@@ -229,6 +235,14 @@ ORACLE: dict[str, str] = {
         ranked2 AS (SELECT c.*, m.child_count, m.degree, row_number() OVER w AS nth, lead(m.child_count) OVER w AS c2, lead(m.degree) OVER w AS d2 FROM chosen c JOIN metrics m USING (id)
           WINDOW w AS (ORDER BY m.child_count DESC, m.degree DESC, c.score DESC, c.file_path, c.id))""",
     ),
+    "candidate_metrics_all": on_graph("SELECT * FROM metrics", _ALL_METRICS),
+    "best_match_all": on_graph(
+        _BEST,
+        f"""{_ALL_METRICS}, matches AS ({searched("n_1", 10)} UNION ALL {searched("supplier#000000001", 10)}),
+        chosen AS (SELECT * FROM matches WHERE match_type = 'exact' OR NOT EXISTS (SELECT 1 FROM matches WHERE match_type = 'exact')),
+        ranked2 AS (SELECT c.*, m.child_count, m.degree, row_number() OVER w AS nth, lead(m.child_count) OVER w AS c2, lead(m.degree) OVER w AS d2 FROM chosen c JOIN metrics m USING (id)
+          WINDOW w AS (ORDER BY m.child_count DESC, m.degree DESC, c.score DESC, c.file_path, c.id))""",
+    ),
     "reachable_outbound": on_graph(REACHED, reach("function:7", 4, True)),
     "reachable_inbound": on_graph(REACHED, reach("module:0", 3, False, "edges")),
     "dependencies_depth2": on_graph(REACHED, reach("method:1", 2, True)),
@@ -301,3 +315,150 @@ ORACLE: dict[str, str] = {
     ),
     "dirty_stream_available_now": _DIRTY,
 }
+
+# What one generated file of each language holds, read off the extractors and looked through: row, kind, name; {n} is the number of
+# the file's variant, {f} its path. It pins results and shows that no file's rows are lost or doubled.
+EXTENSIONS = {"python": ".py", "typescript": ".ts", "rust": ".rs", "c": ".c", "cpp": ".cpp"}
+EXTRACTED = {
+    "python": """
+      node class Reader{n}
+      node file
+      node function handle_{n}
+      node method Reader{n}.load{n}
+      edge calls P
+      edge calls P(name).read_text
+      edge calls store.save
+      edge contains class:{f}:Reader{n}
+      edge contains function:{f}:handle_{n}
+      edge contains method:{f}:Reader{n}.load{n}
+      edge defines method:{f}:Reader{n}.load{n}
+      edge depends_on Base
+      edge depends_on Model
+      edge depends_on Model
+      edge depends_on P
+      edge depends_on P
+      edge depends_on Reader{n}
+      edge depends_on pathlib::Path
+      edge depends_on pathlib::Path
+      edge extends Base
+      edge handles {n}
+      edge imports pathlib
+      edge reads P(name).read_text
+      edge references Base
+      edge references Model
+      edge references Model
+      edge references P
+      edge references P
+      edge references P(name).read_text
+      edge references Reader{n}
+      edge references store.save
+      edge writes x
+    """,
+    "typescript": """
+      node class Svc{n}
+      node file
+      node function go{n}
+      node getter Svc{n}.getSize
+      node method Svc{n}.run{n}
+      node property Svc{n}.name
+      edge calls helper
+      edge calls rf
+      edge contains class:{f}:Svc{n}
+      edge contains function:{f}:go{n}
+      edge contains getter:{f}:Svc{n}.getSize
+      edge contains method:{f}:Svc{n}.run{n}
+      edge contains property:{f}:Svc{n}.name
+      edge defines getter:{f}:Svc{n}.getSize
+      edge defines method:{f}:Svc{n}.run{n}
+      edge defines property:{f}:Svc{n}.name
+      edge depends_on ./fs
+      edge depends_on ./fs::readFile
+      edge depends_on ./fs::readFile
+      edge extends Base
+      edge imports ./fs
+      edge publishes t
+    """,
+    "rust": """
+      node file
+      node function Item{n}::draw
+      node struct Item{n}
+      node trait Draw
+      edge calls read_file
+      edge contains function:{f}:Item{n}::draw
+      edge contains struct:{f}:Item{n}
+      edge contains trait:{f}:Draw
+      edge defines function:{f}:Item{n}::draw
+      edge depends_on Draw
+      edge depends_on Draw
+      edge depends_on Item{n}
+      edge depends_on Item{n}
+      edge depends_on std::fs::read_to_string
+      edge depends_on std::fs::read_to_string
+      edge implements Draw
+      edge imports std::fs
+      edge reads std::fs::read_to_string
+      edge references Draw
+      edge references Draw
+      edge references Item{n}
+      edge references Item{n}
+    """,
+    "c": """
+      node file
+      node function area{n}
+      node struct Point{n}
+      node struct Shape
+      node type Shape
+      edge calls load_size
+      edge contains function:{f}:area{n}
+      edge contains struct:{f}:Point{n}
+      edge contains struct:{f}:Shape
+      edge contains type:{f}:Shape
+      edge depends_on Point{n}
+      edge depends_on Shape
+      edge depends_on Shape
+      edge depends_on Shape
+      edge depends_on shape.h
+      edge imports shape.h
+      edge reads load_size
+      edge references Point{n}
+      edge references Shape
+      edge references Shape
+      edge references Shape
+    """,
+    "cpp": """
+      node class Win{n}
+      node file
+      node function Win{n}::show
+      node function run{n}
+      edge calls bus.connect
+      edge calls start
+      edge contains class:{f}:Win{n}
+      edge contains function:{f}:Win{n}::show
+      edge contains function:{f}:run{n}
+      edge defines function:{f}:Win{n}::show
+      edge depends_on Base
+      edge depends_on Base
+      edge depends_on Config
+      edge depends_on Model
+      edge depends_on Win{n}
+      edge depends_on vector
+      edge extends Base
+      edge imports vector
+      edge references Base
+      edge references Config
+      edge references Model
+      edge references Win{n}
+    """,
+}
+
+
+def extracted(language: str) -> str:
+    """Rows and distinct names by row and kind, if every document's file holds the table's rows."""
+    lines = [line.split() for line in EXTRACTED[language].strip().splitlines()]
+    rows = ", ".join(f"('{row}', '{kind}', {repr(name[0]) if name else 'NULL'})" for row, kind, *name in lines)
+    path = f"'/ws/src/gen/f' || doc_id || '{EXTENSIONS[language]}'"
+    return f"""SELECT "row", kind, count(*) AS count, count(DISTINCT replace(replace(name, '{{f}}', {path}), '{{n}}', (doc_id % 50)::VARCHAR)) AS names
+FROM documents, (VALUES {rows}) v("row", kind, name) GROUP BY "row", kind"""
+
+
+ORACLE |= {f"extract_{language}": extracted(language) for language in EXTRACTED}

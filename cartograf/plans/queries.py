@@ -231,6 +231,19 @@ def best_match(g):
     return search.best_match(found.drop("language"), g.edges).select("id", "name", "child_count", "degree")
 
 
+@on_graph
+def candidate_metrics_all(g):
+    """Metrics of all nodes as candidates."""
+    return search.candidate_metrics(g.nodes, g.edges)
+
+
+@on_graph
+def best_match_all(g):
+    """The clear primary definition among matches of all kinds."""
+    found = search.search(g.nodes, "n_1", limit=10).unionByName(search.search(g.nodes, "Supplier#000000001", limit=10))
+    return search.best_match(found.drop("language"), g.edges).select("id", "name", "child_count", "degree")
+
+
 REACHED = ["id", "name", "kind", "path_length", "via_edge_kind"]
 
 
